@@ -204,11 +204,16 @@ def report(text: str | None) -> tuple:
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
 
 
-@F.pandas_udf(SCHEMA)
-def _reports(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
-        yield pd.DataFrame([report(t) for t in batch], columns=names)
+def reports(text: Column) -> Column:
+    """Struct of the columns in SCHEMA."""
+
+    @F.pandas_udf(SCHEMA)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([report(t) for t in batch], columns=names)
+
+    return run(text)
 
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,7 +224,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     Null and empty texts have no spans. Whole texts are searched, in time linear
     in their length. Rows are independent of each other, so repeated rows and null ids need no
     care; only the two named columns are read."""
-    return docs.select(F.col(doc_id).alias("doc_id"), _reports(F.col(text)).alias("r")).select("doc_id", "r.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), reports(F.col(text)).alias("r")).select("doc_id", "r.*")
 
 
 def masked(text: Column) -> Column:
