@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 POSITIVES, UNLABELLED = 4000, 12000
 #: Bins of each feature; rounds, step and weight decay of the minimiser.
 BINS, ROUNDS, STEP, DECAY = 10, 400, 0.05, 1e-3
+#: Rounds and weight decay of the second part, with the sigmoid loss.
+FINE_ROUNDS, FINE_DECAY = 300, 1e-4
 
 _UPPER, _DIGIT, _SYMBOL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>"
 FEATURES = ("words", "word_length", "distinct", "pairs", "upper", "digits", "symbols", "shouts", "exclaims", "stops", "commas", "bars", "runs", "lines", "same_lines", "packed", "line_words", "last_stop")
@@ -81,28 +83,44 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def minimise(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = ROUNDS, step: float = STEP) -> np.ndarray:
-    """Weights that minimise the non-negative risk of the logistic loss:
-    prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]). Where the
-    bracket is negative its gradient is followed upward instead."""
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+def _descend(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, rounds: int, decay: float, slope) -> np.ndarray:
+    """Adam on the non-negative risk prior * E_p[l(g)] + max(0, E_u[l(-g)] -
+    prior * E_p[l(-g)]); where the bracket is negative its gradient is followed
+    upward instead. ``slope``: of g, the loss l(-g), its slope in g, and that of l(g)."""
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        gp, gu = p @ w, u @ w
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        of_negative = u.T @ _sigmoid(gu) / len(u) - prior * (p.T @ _sigmoid(gp)) / len(p)
-        of_positive = -prior * (p.T @ _sigmoid(-gp)) / len(p)
-        grad = (of_positive + of_negative if negative >= 0 else -of_negative) + DECAY * w
+        (lp, up_p, down_p), (lu, up_u, _) = slope(p @ w), slope(u @ w)
+        of_negative = u.T @ up_u / np.float32(len(u)) - np.float32(prior) * (p.T @ up_p) / np.float32(len(p))
+        of_positive = np.float32(prior) * (p.T @ down_p) / np.float32(len(p))
+        grad = (of_positive + of_negative if lu.mean() >= prior * lp.mean() else -of_negative) + np.float32(decay) * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w = (w - STEP * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
     return w
 
 
+def _logistic(g: np.ndarray):
+    return np.logaddexp(0, g), _sigmoid(g), -_sigmoid(-g)
+
+
+def _zero_one(g: np.ndarray):
+    s = _sigmoid(g)
+    return s, s * (1 - s), -s * (1 - s)
+
+
+def minimise(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of least risk: with the logistic loss first, which is convex for
+    the positives, then from there with the sigmoid loss, which is bounded and so
+    takes no harm from the positives among the unlabelled."""
+    w = _descend(p, u, prior, np.zeros(p.shape[1], np.float32), rounds, DECAY, _logistic)
+    return _descend(p, u, prior, w, FINE_ROUNDS, FINE_DECAY, _zero_one)
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray, confidence: float = 0.1) -> float:
     """Share of positives in u (best bin estimation): one half trains a
     classifier of p against u; on the other, take the top scores at which u has
     the fewest texts for each of p, with allowance for chance."""
     half = lambda x, k: x[k::2]
-    w = minimise(half(p, 0), half(u, 0), 0.5, rounds=150)
+    w = _descend(half(p, 0), half(u, 0), 0.5, np.zeros(p.shape[1], np.float32), 150, DECAY, _logistic)
     zp, zu = np.sort(half(p, 1) @ w)[::-1], np.sort(half(u, 1) @ w)[::-1]
     if not len(zp) or not len(zu):
         return 0.5
@@ -117,7 +135,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, confidence: float = 0.1) -> flo
 def fit(p: np.ndarray, u: np.ndarray) -> Model:
     """p, u: feature rows. Without positives or without unlabelled texts nothing can be learnt: score 0.5."""
     if not len(p) or not len(u):
-        return Model(np.zeros((len(FEATURES), BINS - 1)), np.zeros(len(FEATURES) * BINS + 1), 0.5)
+        return Model(np.zeros((len(FEATURES), BINS - 1)), np.zeros(len(FEATURES) * BINS + 1, np.float32), 0.5)
     edges = np.quantile(np.concatenate([p, u]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     edges[:, -1] = np.quantile(np.concatenate([p, u]), 0.97, axis=0)
     hp, hu = _one_hot(edges, p), _one_hot(edges, u)
