@@ -110,8 +110,10 @@ AT = r"(?:[ ]*[(\[{<][ ]*(?:at|@|arroba|chez)[ ]*[)\]}>][ ]*|[ ]+@[ ]*|[ ]*@[ ]+
 WORD_AT = r"[ ]+(?:at|arroba)[ ]+"
 DOT = r"(?:[ ]*[(\[{<][ ]*(?:dot|\.|punto|point|punkt)[ ]*[)\]}>][ ]*|[ ]+(?:dot|punto|punkt)[ ]+)"
 NAME = rf"[A-Za-z0-9._%+-]+(?:{DOT}[A-Za-z0-9._%+-]+)*"
-#: With ``at`` as a bare word, a disguised dot must follow: prose has the word too.
-DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>{NAME})(?:(?:{AT})(?P<host>{LABEL}(?:(?:{DOT}|\.){LABEL})+)|(?:{WORD_AT})(?P<host2>{LABEL}(?:\.{LABEL})*(?:{DOT}{LABEL})(?:(?:{DOT}|\.){LABEL})*)|@(?P<host3>{LABEL}(?:(?:{DOT}|\.){LABEL})+))", re.I)
+# Top-level domains that end an address spelled in bare words.
+TOP = "(?:com|org|net|edu|gov|info|biz|io|dev|app|ai|co|uk|de|fr|es|it|nl|eu|ch|at|be|ca|us|au|in|jp|cn|br|mx)"
+#: With ``at`` as a bare word, a disguised dot and a top-level domain must follow: prose has the word too.
+DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>{NAME})(?:(?:{AT})(?P<host>{LABEL}(?:(?:{DOT}|\.){LABEL})+)|(?:{WORD_AT})(?P<host2>{LABEL}(?:(?:{DOT}|\.){LABEL})*(?:{DOT}{TOP})(?![A-Za-z0-9-]))|@(?P<host3>{LABEL}(?:(?:{DOT}|\.){LABEL})+))", re.I)
 DISGUISE_HINT = re.compile(r"[(\[{<][ ]*(?:at|@|arroba|chez)[ ]*[)\]}>]|[ ]@|@[ ]|[ ](?:dot|punto|punkt)[ ]|[(\[{<][ ]*(?:dot|\.|punto|point|punkt)[ ]*[)\]}>]", re.I)
 DOT_PART = re.compile(DOT, re.I)
 HOST_DOTS = re.compile(rf"[0-9]+(?:(?:{DOT}|\.)[0-9]+){{3}}(?![0-9])", re.I)
@@ -176,7 +178,7 @@ def signs(tape: Tape) -> Tape:
 
 def spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(base spans, spans that only the rewritten text shows), by kind. A found
-    span that overlaps a base span of its kind adds nothing."""
+    span that lies within a base span of its kind adds nothing."""
     if not text:
         return {k: [] for k in KINDS}, {k: [] for k in KINDS}
     base = plain(text)
@@ -186,7 +188,7 @@ def spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]
         for kind, found in plain(tape.text).items():
             own = base[kind]
             for a, b in (tape.source(*s) for s in found):
-                if not any(x < b and a < y for x, y in own):
+                if not any(x <= a and b <= y for x, y in own):
                     more[kind].append((a, b))
     return base, more
 
