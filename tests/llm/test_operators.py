@@ -1,0 +1,410 @@
+"""Each operator on small tables against brute force, with the odd cases: nulls,
+empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lamina.llm import decontam, langid, license_scan, mixing, pii, pu_quality, sharding, simhash, warc, weak_rules
+from lamina.llm.graph import components
+from lamina.llm.scratch import Scratch
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, slot int, key string, bucket string, size string"
+
+
+def table(spark, rows):
+    """Columns after source clash with names that operators use."""
+    return spark.createDataFrame([(i, t, lang, s, 1, "x", "y", "z") for i, t, lang, s in rows], SCHEMA)
+
+
+def odd_rows():
+    rng = random.Random(5)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "the", "of", "und", "der", "Épée", "x", "$$$", "stop."]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 90))), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None])) for i in range(60)]
+    rows += [(100, None, "en", "a"), (101, "", None, None), (102, " \n\t ", "en", "b"), (None, "alpha beta gamma", "de", "b"), (103, "beta " * 30000, "en", "a")]
+    return rows + [rows[3]] * 3 + [(200 + i, "same text again and again", "en", "a") for i in range(20)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return table(spark, odd_rows())
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# language identification
+
+
+def test_languages_are_told_apart(spark):
+    rng = random.Random(1)
+    en, de = ["the", "house", "water", "going", "with", "thing"], ["der", "haus", "wasser", "gehen", "mit", "dinge"]
+    rows = [(i, " ".join(rng.choices(en if i % 2 else de, k=60)), "en" if i % 2 else "de", "a") for i in range(80)]
+    contents = langid.fit_dictionaries(table(spark, rows[:60]))
+    got = langid.identify(table(spark, rows[60:]), contents).select("lang", "language.*").collect()
+    assert all(r["lang"] == r["lang_pred"] and r["accepted"] and 0.5 < r["score"] <= 1 for r in got)
+
+
+def test_language_of_odd_texts(odd, empty):
+    contents = langid.fit_dictionaries(odd)
+    assert set(contents) == {"de", "en"}
+    got = langid.identify(odd, contents)
+    assert got.count() == odd.count()
+    for r in got.filter("text IS NULL OR NOT text RLIKE '\\\\p{L}'").select("language.*").collect():
+        assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+    assert langid.fit_dictionaries(empty) == {}
+    assert {r[0] for r in langid.identify(odd, {}).select("language.lang_pred").collect()} == {"und"}
+
+
+# sharding
+
+
+def test_shards_are_even_and_gapless(odd, empty):
+    rows = sharding.shard_records(odd, shards=4, carry=("slot",)).collect()
+    assert len(rows) == odd.count() and sharding.shard_records(empty).count() == 0
+    for s in range(4):
+        places = sorted(r[5] for r in rows if r["shard"] == s)
+        assert places == list(range(len(places)))
+    for r, t in [(r, t) for r in rows for i, t, *_ in odd_rows() if i == r["doc_id"]][:200]:
+        if t is None:
+            assert r["size"] == 1 and r["text_crc32"] is None
+
+
+def test_equal_texts_share_a_slot_unless_hot(spark):
+    rows = [(i, f"text number {i % 500}", "en", "a") for i in range(1500)] + [(5000 + i, "hot text", "en", "a") for i in range(800)]
+    got = sharding.shard_records(table(spark, rows)).collect()
+    text = {i: t for i, t, *_ in rows}
+    shards = {}
+    for r in got:
+        shards.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(shards["hot text"]) == 8
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) - min(loads.values()) < 0.02 * sum(loads.values()) / 8
+
+
+def test_map_is_versioned_and_moves_little(spark, tmp_path):
+    sizes = [(i * 37) % 101 for i in range(400)]
+    one = sharding.plan_map([1] * 400, sizes, 8)
+    two = sharding.rebalance(one, sizes, 9)
+    assert max(two.loads()) - min(two.loads()) <= max(sizes)
+    moved = [e for e in range(400) if one.shard[e] != two.shard[e]]
+    assert sum(sizes[e] for e in moved) < 0.2 * sum(sizes)
+    sharding.store_map(spark, one, f"file://{tmp_path}/map")
+    sharding.store_map(spark, two, f"file://{tmp_path}/map")
+    assert sharding.load_map(spark, f"file://{tmp_path}/map", 2) == two
+    assert set(sharding.rebalance(two, sizes, 3).shard) == {0, 1, 2}
+
+
+# simhash
+
+
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_near_duplicates_match_brute_force(odd, empty):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count() and simhash.near_duplicates(empty).count() == 0
+    fps = {t: brute_fingerprint(t) for _, t, *_ in odd_rows()}
+    group = brute_components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {}
+    for i, t, *_ in odd_rows():
+        g = group[fps[t]]
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    expect = Counter((i, f"{fps[t]:016x}", least[group[fps[t]]]) for i, t, *_ in odd_rows())
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == expect
+
+
+def test_links_of_crowded_keys(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fps = {b for b in base}
+    for b in base[:3]:
+        for _ in range(120):
+            x = b
+            for bit in rng.sample(range(64), rng.randrange(1, 5)):
+                x ^= 1 << bit
+            fps.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    scratch = Scratch(spark)
+    frame = scratch.save(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    got = {r["node"]: r["root"] for r in components(simhash.links(frame, scratch), scratch).collect()}
+    expect = brute_components(sorted(signed), lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
+    assert {x: got.get(x, x) for x in signed} == expect
+
+
+def test_components_of_a_long_path(spark):
+    scratch = Scratch(spark)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
+    got = {r["node"]: r["root"] for r in components(edges, scratch).collect()}
+    assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+# warc
+
+
+def pages(spark, n=300):
+    rows = [(i, f"http://h/{i}", f"<p>{'é' * (i % 50)}{i}</p>") for i in range(n)] + [(None, None, None), (5, "http://h/5", "<p>again</p>")]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_audit_finds_every_fault(spark):
+    ours = warc.lay_out(pages(spark), file_bytes=10_000).cache()
+    rows = ours.collect()
+    bad = {(r["file"], r["offset"]): ("altered", "missing")[i % 2] for i, r in enumerate(rows) if i % 37 == 0}
+    theirs = [(r["page_id"], r["file"], r["offset"], r["length"], "0" * 64 if bad.get((r["file"], r["offset"])) == "altered" else r["sha256"]) for r in rows if bad.get((r["file"], r["offset"])) != "missing"]
+    theirs.append((1, rows[0]["file"], 10**9, 5, "f" * 64))
+    got = {(r["file"], r["offset"]): r["fault"] for r in warc.audit(ours, spark.createDataFrame(theirs, ours.schema)).collect()}
+    assert got == {**bad, (rows[0]["file"], 10**9): "extra"}
+    assert warc.audit(ours, ours).count() == 0
+    assert warc.fixity(pages(spark).limit(0)).count() == 0
+
+
+def test_files_round_trip(spark, tmp_path):
+    laid = warc.lay_out(pages(spark), file_bytes=10_000, payload=True)
+    warc.write_warc(laid, f"file://{tmp_path}/warc")
+    back = warc.read_warc(spark, f"file://{tmp_path}/warc").select("file", "offset", "length", "sha256")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, laid.select("file", "offset", "length", "sha256").collect()))
+
+
+# decontamination
+
+
+def distance_in(pattern, text):
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        last, row[0] = row[0], 0
+        for i, p in enumerate(pattern, 1):
+            last, row[i] = row[i], min(last + (p != c), row[i] + 1, row[i - 1] + 1)
+        best = min(best, row[-1])
+    return best
+
+
+def test_myers_is_the_edit_distance():
+    rng = random.Random(4)
+    for _ in range(200):
+        pattern, text = ("".join(rng.choices("abc", k=rng.randrange(1, n))) for n in (20, 60))
+        assert decontam.Myers(pattern).best(text)[0] == distance_in(pattern, text)
+
+
+def test_items_are_found_as_by_brute_force(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(200)]
+    items = [(i, " ".join(rng.choices(words, k=15))) for i in range(8)] + [(90, None), (None, "no id " * 9), (91, "short")]
+    docs = []
+    for i in range(40):
+        text = rng.choices(words, k=60)
+        if i % 2:
+            own = list(items[i % 8][1])
+            for _ in range(rng.randrange(0, 9)):
+                own[rng.randrange(len(own))] = rng.choice("abcxyz")
+            text[20:20] = "".join(own).upper().split()
+        docs.append((i, " ".join(text), "en", "a"))
+    docs += [(100, None, None, None), (101, "", None, None), docs[1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expect = Counter()
+    for d, text, *_ in docs:
+        for i, t in items[:8]:
+            n = distance_in(decontam.normal(t), decontam.normal(text))
+            if n <= decontam.budget(len(decontam.normal(t))):
+                expect[d, i, n] += 1
+    for chars in (200, 10**6):
+        got = decontam.contaminated(table(spark, docs), bench, block_chars=chars).collect()
+        assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in got) == expect
+    kept = {r["doc_id"] for r in decontam.clean(table(spark, docs), bench).collect()}
+    assert kept == {d for d, *_ in docs} - {d for d, _, _ in expect}
+    assert decontam.contaminated(table(spark, docs), bench.limit(0)).count() == 0
+
+
+# quality classifier
+
+
+def test_positive_unlabelled_learning(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(300)]
+    good = lambda: " ".join(rng.choices(words, k=80)) + "."
+    bad = lambda: "BUY!! NOW!! $$$ " * 20
+    rows = [(i, bad() if i % 5 == 0 else good(), "en", "a") for i in range(900)]
+    docs = table(spark, rows)
+    positives = docs.filter("doc_id % 5 <> 0 AND doc_id < 450").select("doc_id")
+    model = pu_quality.fit(*pu_quality.sample(docs, positives))
+    assert 0.6 < model.prior < 0.95
+    got = pu_quality.classify(docs, model).collect()
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 5 != 0) for r in got) > 0.97 * len(got)
+
+
+def test_classifier_of_odd_texts(odd, empty):
+    nothing = pu_quality.fit(*pu_quality.sample(empty, empty.select("doc_id")))
+    got = pu_quality.classify(odd, nothing).collect()
+    assert len(got) == odd.count() and {r["score"] for r in got} == {0.5}
+
+
+# licences
+
+
+def test_base_phrases_and_templates(odd, empty, spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "the GNU General Public License, general public license", "ALL RIGHTS reserved", "Released under the MIT License.", "mit license", "this license is public and general", "reserved all rights", None, ""]
+    got = {r["doc_id"]: r for r in license_scan.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i]["n_base"] for i in range(9)] == [1, 2, 1, 0, 0, 0, 0, 0, 0]
+    assert got[0]["labels"] == "cc-by,cc-by-nc" and got[1]["base_labels"] == "gpl" and (got[1]["first_word"], got[1]["last_word"]) == (2, 5)
+    assert got[3]["labels"] == "mit" and got[6]["labels"] == "" and got[7]["n_words"] == 0 and got[7]["first_word"] is None
+    assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(empty).count() == 0
+
+
+# quality rules
+
+
+def brute_counts(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if twice[w] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_counts_match_brute_force(odd, empty):
+    rows = weak_rules.label(odd).collect()
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows)
+    assert got == Counter((i, *brute_counts(t)) for i, t, *_ in odd_rows())
+    assert all(not (r["base_failed"] and r["kept"]) for r in rows)
+    assert weak_rules.label(empty).count() == 0
+
+
+def test_estimation_recovers_accuracies():
+    rng = random.Random(9)
+    true = [0.95, 0.8, 0.7, 0.9]
+    seen = Counter()
+    for _ in range(20000):
+        y = 1 if rng.random() < 0.8 else -1
+        seen[tuple(0 if rng.random() < 0.2 else y if rng.random() < a else -y for a in true)] += 1
+    prior, right = weak_rules.estimate(seen)
+    assert abs(prior - 0.8) < 0.03 and all(abs(a - b) < 0.04 for a, b in zip(true, right, strict=True))
+
+
+# personal data
+
+
+def plain_spans(text):
+    email = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    ip = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    card = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    phone = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+    return {"email": email, "ip": ip, "card": card, "phone": phone}
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(10)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "@", ".", "-", "1", "25", "4", " ", "+", "(", ")", "x.y", "4111111111111111", "é"], k=rng.randrange(1, 30)))
+        assert pii.plain(text) == plain_spans(text), text
+
+
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("write to jane.doe (at) mail (dot) example (dot) com today", "email", "jane.doe (at) mail (dot) example (dot) com"),
+        ("ask bob [at] site.org now", "email", "bob [at] site.org"),
+        ("reach kim at web dot de please", "email", "kim at web dot de"),
+        ("jоhn@exаmple.com wrote", "email", "jоhn@exаmple.com"),
+        ("call plus four nine one five one two three four five six seven eight", "phone", "plus four nine one five one two three four five six seven eight"),
+        ("card ４１１１１１１１１１１１１１１１ ok", "card", "４１１１１１１１１１１１１１１１"),
+        ("host 10 dot 0 dot 0 dot 1 up", "ip", "10 dot 0 dot 0 dot 1"),
+        ("1​92.168.0.1 up", "ip", "1​92.168.0.1"),
+    ],
+)
+def test_disguises_map_back_to_the_source(text, kind, source):
+    base, more = pii.spans(text)
+    found = {text[a:b] for a, b in base[kind] + more[kind]}
+    assert source in found
+
+
+def test_prose_is_left_alone():
+    for text in ("we met at noon and looked at the dot on one of two maps", "one two three", "seven or eight people at home", "at the station dot"):
+        base, more = pii.spans(text)
+        assert not any(base.values()) and not any(more.values())
+
+
+def test_report_of_odd_texts(odd, empty):
+    rows = pii.find(odd).collect()
+    assert len(rows) == odd.count() and pii.find(empty).count() == 0
+    none = hashlib.sha256(b"").hexdigest()
+    assert all(r["base_sha256"] == none and r["spans"] == "" for r in rows if r["doc_id"] in (100, 101, 102))
+
+
+# mixing
+
+
+def test_mix_matches_brute_force(odd, empty):
+    rows = mixing.mix(odd, carry=("source",)).collect()
+    assert len(rows) == odd.count() and mixing.mix(empty).count() == 0
+    size = Counter()
+    for _, t, _, s in odd_rows():
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {s: 0.0 for s in names}, 1.5 * sum(size.values()), set(names)
+    while left > 1e-9 and open_:
+        total = sum(weight[s] for s in open_)
+        share = {s: left * weight[s] / total for s in open_}
+        left = 0.0
+        for s in list(open_):
+            target[s] += share[s]
+            if target[s] >= 2 * size[s]:
+                left += target[s] - 2 * size[s]
+                target[s] = 2.0 * size[s]
+                open_.discard(s)
+    taken = Counter()
+    for r in rows:
+        assert r["size"] <= r["source_size"] == size[r["source"]] and r["taken"] <= 2 * r["size"]
+        assert abs(r["target"] - target[r["source"]]) < 1e-6
+        taken[r["source"]] += r["taken"]
+    longest = {s: max(len(WORD.findall(t or "")) for _, t, _, x in odd_rows() if x == s) for s in names}
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in names)
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.mix(odd.repartition(7), carry=("source",)).collect()))
+
+
+def test_weights_favour_good_documents(spark):
+    rows = [(i, "a b c d e f g h" if i % 2 else "a $$ b $$ c $$ $$ $$", "en", s) for s in "xy" for i in range(400)]
+    got = mixing.mix(table(spark, rows), carry=("text",)).filter("taken > size OR (target < source_size AND taken > 0)").collect()
+    clean = sum("$" not in r["text"] for r in got)
+    assert clean > 0.6 * len(got)
+
+
+def test_scratch_is_in_the_shared_folder(spark):
+    scratch = Scratch(spark)
+    saved = scratch.save(spark.range(5).withColumn("x", F.lit(1)))
+    assert saved.inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir").replace("file://", "file://"))
