@@ -17,18 +17,38 @@ def _count(items: Column, item: Column) -> Column:
     return F.size(F.filter(items, lambda x: x == item))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression that a lambda names
+    is computed again for each element it visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shared(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(_count(a, t), _count(b, t)))
+    """Size of the multiset intersection of two token arrays: a walk over both,
+    sorted together, in which each token of b uses up an equal one of a."""
+    side = lambda tokens, n: F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(n).alias("side")))
+
+    def step(at: Column, x: Column) -> Column:
+        left = F.when(at["t"].eqNullSafe(x["t"]), at["left"]).otherwise(0)
+        pair = (x["side"] == 1) & (left > 0)
+        return F.struct(x["t"].alias("t"), F.when(x["side"] == 0, left + 1).when(pair, left - 1).otherwise(left).alias("left"), (at["n"] + pair.cast("int")).alias("n"))
+
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda at: at["n"])
 
 
 def token_f1(prediction: Column, gold: Column, empty_matches: bool = False) -> Column:
     """F1 of token arrays by multiset overlap; 0 without overlap. With
     ``empty_matches``, two empty arrays score 1."""
-    both = shared(prediction, gold)
-    p, r = both / F.nullif(F.size(prediction), F.lit(0)), both / F.nullif(F.size(gold), F.lit(0))
-    f1 = F.when(both > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return F.when((F.size(prediction) == 0) & (F.size(gold) == 0), 1.0).otherwise(f1) if empty_matches else f1
+
+    def score(c: Column) -> Column:
+        p, r = c["n"] / F.nullif(c["p"], F.lit(0)), c["n"] / F.nullif(c["g"], F.lit(0))
+        f1 = F.when(c["n"] > 0, 2 * p * r / (p + r)).otherwise(0.0)
+        return F.when((c["p"] == 0) & (c["g"] == 0), 1.0).otherwise(f1) if empty_matches else f1
+
+    tokens = F.struct(prediction.alias("p"), gold.alias("g"))
+    counts = _bound(tokens, lambda x: F.struct(shared(x["p"], x["g"]).alias("n"), F.size(x["p"]).alias("p"), F.size(x["g"]).alias("g")))
+    return _bound(counts, score)
 
 
 def qa_f1(prediction: Column, gold: Column) -> Column:

@@ -1,6 +1,7 @@
 """Reference operators on literals: folds against plain Python, and the odd cases."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import Row, functions as F
 
@@ -138,3 +139,16 @@ def test_judge_runs_over_documents(spark):
         assert got[d, c] == int(c > 0 and s > limit)
         if c > 0:
             seen.append(s)
+
+
+def test_shared_tokens_match_counters(spark):
+    rng = random.Random(3)
+    bags = [[[rng.choice("abcd") for _ in range(rng.randrange(0, 12))] for _ in range(2)] for _ in range(200)] + [[[], []], [["a"] * 5, ["a"] * 3], [None, ["a"]]]
+    rows = [(i, x, y) for i, (x, y) in enumerate(bags)]
+    frame = spark.createDataFrame(rows, "id int, x array<string>, y array<string>")
+    got = {r["id"]: (r["n"], r["f1"], r["same"]) for r in frame.select("id", M.shared(F.col("x"), F.col("y")).alias("n"), M.token_f1(F.col("x"), F.col("y")).alias("f1"), M.token_f1(F.col("x"), F.col("y"), True).alias("same")).collect()}
+    for i, x, y in rows[:-1]:
+        n = sum((Counter(x) & Counter(y)).values())
+        f1 = 2 * n / (len(x) + len(y)) if n else 0.0
+        assert got[i][0] == n and abs(got[i][1] - f1) < 1e-12 and abs(got[i][2] - (f1 if x or y else 1.0)) < 1e-12
+    assert got[rows[-1][0]][:2] == (None, 0.0)
