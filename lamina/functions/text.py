@@ -114,9 +114,10 @@ CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜
 
 
 def normalize_answer(text: Column) -> Column:
-    """Lower case, no ASCII punctuation, no articles, single blanks."""
+    """Lower case, no ASCII punctuation, no articles, single blanks. Words end
+    where letters of any script do (``(?U)``; the default differs between JDKs)."""
     plain = F.regexp_replace(F.lower(text), PUNCTUATION, "")
-    return F.array_join(words(F.regexp_replace(plain, r"\b(a|an|the)\b", " ")), " ")
+    return F.array_join(words(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " ")), " ")
 
 
 def normalize_zh(text: Column) -> Column:

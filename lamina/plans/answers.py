@@ -12,7 +12,8 @@ from .common import docs, registry, table, words_sql
 QUERIES, SQL, query = registry()
 
 _CONV = "p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b FROM conversations), q AS (SELECT * FROM p WHERE b IS NOT NULL)"
-_NORM = r"regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g')"
+# DuckDB's \b knows ASCII letters only ("an" in "anç" would be a word): words of any script are marked off, then whole articles go
+_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g'), '\x01(a|an|the)\x02', ' ', 'g'), '[\x01\x02]', '', 'g')"
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
