@@ -10,19 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-from .text import normalize_answer, normalize_zh, words, zh_tokens
+from .text import bound, normalize_answer, normalize_zh, words, zh_tokens
 
 
 def _count(items: Column, item: Column) -> Column:
     return F.size(F.filter(items, lambda x: x == item))
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with value computed once: an expression that a lambda names
-    is computed again for each element it visits."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def shared(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays: a walk over both,
     sorted together, in which each token of b uses up an equal one of a."""
@@ -47,8 +41,8 @@ def token_f1(prediction: Column, gold: Column, empty_matches: bool = False) -> C
         return F.when((c["p"] == 0) & (c["g"] == 0), 1.0).otherwise(f1) if empty_matches else f1
 
     tokens = F.struct(prediction.alias("p"), gold.alias("g"))
-    counts = _bound(tokens, lambda x: F.struct(shared(x["p"], x["g"]).alias("n"), F.size(x["p"]).alias("p"), F.size(x["g"]).alias("g")))
-    return _bound(counts, score)
+    counts = bound(tokens, lambda x: F.struct(shared(x["p"], x["g"]).alias("n"), F.size(x["p"]).alias("p"), F.size(x["g"]).alias("g")))
+    return bound(counts, score)
 
 
 def qa_f1(prediction: Column, gold: Column) -> Column:

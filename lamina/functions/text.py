@@ -12,6 +12,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression that a lambda names
+    is computed again for each element it visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
@@ -58,9 +64,11 @@ def fixed_chars(text: Column, size: int, overlap: int = 0) -> Column:
 
 
 def fixed_words(text: Column, size: int) -> Column:
-    w = words(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
-    return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(text), cut)
 
 
 def lines(text: Column, least: int = 10) -> Column:
