@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.functions.metrics import cosine
-from lamina.functions.text import words
+from lamina.functions.text import bound, words
 
 from .scoring import hashed_counts
 
@@ -27,7 +27,7 @@ def conditional_loss(context: Column, text: Column) -> Column:
     """Stand-in for the summed loss of ``text`` after ``context``: each word
     costs ln 2 if the context has it, else ln 20. Any pair scorer may replace it."""
     w = words(F.lower(text))
-    known = F.size(F.filter(w, lambda x: F.array_contains(words(F.lower(context)), x)))
+    known = bound(words(F.lower(context)), lambda c: F.size(F.filter(w, lambda x: F.array_contains(c, x))))
     return known * math.log(2) + (F.size(w) - known) * math.log(20)
 
 
