@@ -2,7 +2,7 @@
 
 Licence templates are indexed by word and place. The document frequency of every
 template word is counted over all texts; a template is indexed by its rarest
-words. Each file's rarest licence words are looked up, every pair of a place in the file
+words. Every indexed word of a file is looked up, every pair of a place in the file
 and a place in a template votes for one relative position, and where enough of a
 template's rare weight agrees the template is compared in place and its
 mandatory phrases are verified.
@@ -44,8 +44,8 @@ TEMPLATES = (
     ("proprietary", "confidential and proprietary information do not distribute", ("confidential and proprietary",)),
     ("reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
-#: Rarest words that index a template; rarest licence words looked up of a file.
-INDEXED, LOOKED_UP = 3, 12
+#: Rarest words that index a template.
+INDEXED = 3
 #: Share of a template's indexed weight that must agree on a position, and of its whole weight that must match there.
 AGREE, MATCH = 0.5, 0.6
 
@@ -127,9 +127,8 @@ class Index:
         return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | found.keys())), score
 
     def votes(self, places: dict[bytes, list[int]]) -> dict[tuple[int, int], float]:
-        rarest = sorted(places.keys() & self.postings.keys(), key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
         votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rarest:
+        for w in sorted(places.keys() & self.postings.keys(), key=lambda w: (-self.idf[w], w)):
             for i in places[w]:
                 for t, q in self.postings[w]:
                     votes[t, i - q] += self.idf[w]

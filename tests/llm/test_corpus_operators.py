@@ -284,6 +284,13 @@ def test_base_phrases_and_templates(odd, empty, spark):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(empty).count() == 0
 
 
+def test_a_text_with_all_notices_has_all_labels():
+    rng = random.Random(12)
+    index = license_scan.Index.build(10_000, {w: rng.randrange(1, 3000) for w in license_scan.VOCABULARY})
+    text = " . ".join(notice for _, notice, _ in license_scan.TEMPLATES)
+    assert set(index.scan(text)[5].split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
+
+
 # quality rules
 
 
