@@ -47,12 +47,12 @@ class Myers:
         for i, c in enumerate(pattern):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def best(self, text: str) -> tuple[int, int]:
-        """(distance, end of the first substring that has it)."""
+    def distances(self, text: str, anchored: bool = False) -> Iterator[int]:
+        """Least distance to any substring that ends at each place in turn, or to
+        the whole text so far if ``anchored``."""
         full, top = (1 << self.length) - 1, 1 << self.length - 1
         up, down, score = full, 0, self.length
-        least, end = score, 0
-        for i, c in enumerate(text, 1):
+        for c in text:
             eq = self.masks.get(c, 0)
             vertical = eq | down
             diagonal = (((eq & up) + up) ^ up) | eq
@@ -62,10 +62,22 @@ class Myers:
                 score += 1
             elif minus & top:
                 score -= 1
-            plus = (plus << 1) & full  # a match may begin anywhere: no cost enters from above
+            plus = (plus << 1 | anchored) & full  # a match may begin anywhere: no cost enters from above
             minus = (minus << 1) & full
             up = minus | (full & ~(vertical | plus))
             down = plus & vertical
+            yield score
+
+    def distance(self, text: str) -> int:
+        score = self.length
+        for score in self.distances(text, anchored=True):
+            pass
+        return score
+
+    def best(self, text: str) -> tuple[int, int]:
+        """(distance, end of the first substring that has it)."""
+        least, end = self.length, 0
+        for i, score in enumerate(self.distances(text), 1):
             if score < least:
                 least, end = score, i
         return least, end

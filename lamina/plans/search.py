@@ -112,9 +112,9 @@ def rerank_rrf(spark, sf_dir):
 
 @query()
 def near_dup_greedy(spark, sf_dir):
-    """Over the first words of each query's hits: lists are short by definition."""
-    hits = _bm25(spark, sf_dir).join(docs(spark, sf_dir), "doc_id").withColumn("head", F.array_join(F.slice(T.words(F.col("text")), 1, 8), " "))
-    lists = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "head"))), lambda x: x["head"]).alias("hits"))
+    """Over the whole texts of each query's hits: lists are short by definition."""
+    hits = _bm25(spark, sf_dir).join(docs(spark, sf_dir), "doc_id")
+    lists = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("hits"))
     return lists.select("query_id", F.size("hits").alias("n"), F.size(retrieval.distinct_hits(F.col("hits"))).alias("kept"))
 
 

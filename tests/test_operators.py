@@ -152,3 +152,52 @@ def test_shared_tokens_match_counters(spark):
         f1 = 2 * n / (len(x) + len(y)) if n else 0.0
         assert got[i][0] == n and abs(got[i][1] - f1) < 1e-12 and abs(got[i][2] - (f1 if x or y else 1.0)) < 1e-12
     assert got[rows[-1][0]][:2] == (None, 0.0)
+
+
+def brute_near(a, b):
+    short, long_ = sorted((a, b), key=len)
+    n, least = len(short), len(short)
+    for k in range(len(long_) - n + 1):
+        row = list(range(n + 1))
+        for j, c in enumerate(long_[k : k + n], 1):
+            last, row[0] = row[0], j
+            for i, p in enumerate(short, 1):
+                last, row[i] = row[i], min(last + (p != c), row[i] + 1, row[i - 1] + 1)
+        least = min(least, row[-1])
+    return 4 * least < n
+
+
+def test_distinct_hits_are_those_of_brute_force():
+    import random
+
+    from lamina.operators.retrieval import near
+
+    rng = random.Random(1)
+    seen = set()
+    for _ in range(400):
+        a = "".join(rng.choices("abcd", k=rng.randrange(1, 30)))
+        own = list(a)
+        for _ in range(rng.randrange(0, 10)):
+            i = rng.randrange(len(own) + 1)
+            own[i : i + rng.randrange(2)] = rng.choices("abcd", k=rng.randrange(2))
+        b = "".join(rng.choices("abcd", k=rng.randrange(9))) + "".join(own) + "".join(rng.choices("abcd", k=rng.randrange(9)))
+        if b:
+            assert near(a, b) == brute_near(a, b), (a, b)
+            seen.add(near(a, b))
+    assert seen == {True, False}
+
+
+def test_near_dup_greedy_reads_whole_texts(spark, monkeypatch):
+    from lamina.plans import search
+
+    head, tail = "one two three four five six seven eight ", " the rest of it is quite alike in both of these"
+    texts = [head + "apples grow on old trees here", head + "nobody knew where ships had gone", "x" + tail, "other start" + tail]
+    hits = spark.createDataFrame([(1, i, i + 1) for i in range(4)], "query_id int, doc_id int, rank int")
+    monkeypatch.setattr(search, "_bm25", lambda *_: hits)
+    monkeypatch.setattr(search, "docs", lambda *_: spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    want = []
+    for t in texts:
+        if not any(brute_near(a, t) for a in want):
+            want.append(t)
+    assert [tuple(r) for r in search.near_dup_greedy(spark, "").collect()] == [(1, 4, len(want))]
+    assert len(want) == 3
