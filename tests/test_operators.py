@@ -201,3 +201,12 @@ def test_near_dup_greedy_reads_whole_texts(spark, monkeypatch):
             want.append(t)
     assert [tuple(r) for r in search.near_dup_greedy(spark, "").collect()] == [(1, 4, len(want))]
     assert len(want) == 3
+
+
+def test_longbench_score_reads_every_answer(spark, tmp_path):
+    from lamina.plans import answers
+
+    rows = [(1, 0, "red green blue")] + [(1, i, "nothing alike") for i in range(1, 1500)] + [(1, 1500, "red green blue")]
+    rows += [(2, 0, "alone"), (3, 0, "twice said"), (3, 0, "twice said"), (4, 1, "one two"), (4, 2, "two three")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {tuple(r) for r in answers.longbench_score(spark, str(tmp_path)).collect()} == {(1, 100.0), (3, 100.0), (4, 50.0)}
