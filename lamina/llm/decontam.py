@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 RATE = 0.06
 #: Characters of items in one pass over the texts: bounds what is sent out.
 BLOCK_CHARS = 8_000_000
-#: Shorter items (after normalisation) say nothing and aren't searched.
+#: Shorter items (after normalisation) are searched as whole words without edits.
 LEAST_CHARS = 20
 
 
@@ -87,7 +87,7 @@ class Index:
     """Pieces of a block of items in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(i, t, budget(len(t), rate)) for i, t in items]
+        self.items = [(i, t, budget(len(t), rate) if len(t) >= LEAST_CHARS else 0) for i, t in items]
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, errors) in enumerate(self.items):
@@ -101,33 +101,38 @@ class Index:
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, least distance, end in the normalised text, budget) per item."""
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for end, (size, places) in self.automaton.iter(text):
             for n, at in places:
                 _, t, errors = self.items[n]
                 start = end + 1 - size - at - errors
+                if not errors:
+                    if not (text[start - 1 : start].isalnum() or text[end + 1 : end + 2].isalnum()):
+                        exact.setdefault(n, end + 1)
+                    continue
                 own = windows.setdefault(n, [])
                 # hits come by their ends, so starts of one item rise but for its piece order: join what overlaps
                 if own and start <= own[-1][1] and own[-1][0] <= start + len(t) + 2 * errors:
                     own[-1] = [min(own[-1][0], start), max(own[-1][1], start + len(t) + 2 * errors)]
                 else:
                     own.append([start, start + len(t) + 2 * errors])
-        out = []
+        out = [(self.items[n][0], 0, end, 0) for n, end in exact.items()]
         for n, spans in windows.items():
             item, t, errors = self.items[n]
             pattern = self.patterns.get(n) or self.patterns.setdefault(n, Myers(t))
             best = min(((d, max(0, a) + e) for a, b in spans for d, e in [pattern.best(text[max(0, a) : max(0, b)])]), default=None)
             if best and best[0] <= errors:
                 out.append((item, best[0], best[1], errors))
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, item_id: str, text: str, chars: int = BLOCK_CHARS, without_id: bool = False) -> Iterator[list[tuple[int, str]]]:
     """Distinct items, normalised, in blocks of at most ``chars`` characters (or one item)."""
     block: list[tuple[int, str]] = []
     size = 0
-    for i, t in benchmark.select(F.col(item_id), F.col(text)).filter(F.col(item_id).isNotNull()).distinct().toLocalIterator():
+    for i, t in benchmark.select(F.col(item_id), F.col(text)).filter(F.col(item_id).isNotNull() | F.lit(without_id)).distinct().toLocalIterator():
         t = normal(t)
-        if len(t) < LEAST_CHARS:
+        if not t:
             continue
         if block and size + len(t) > chars:
             yield block
@@ -143,8 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", c
     item_id, distance, budget and end (of the match in the normalised text).
 
     Items are searched in blocks, each a pass over the texts with a bounded
-    index, so a benchmark of any size works. Null and empty texts hold nothing; null, empty and very short
-    items (under 20 characters) and items without id are not searched; an id
+    index, so a benchmark of any size works. Null and empty texts hold nothing; null and empty
+    items and items without id are not searched (``clean`` searches those without id); an id
     with several texts is found by any of them (its least distance counts). Repeated
     documents each have rows. Without items or documents the result is empty.
     """
@@ -178,6 +183,6 @@ def _best_by_id(matches: list[tuple[int, int, int, int]]) -> list[dict]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", rate: float = RATE, **names: str) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns and other rows stay."""
-    for block in blocks(benchmark, names.get("item_id", "item_id"), names.get("item_text", "text")):
+    for block in blocks(benchmark, names.get("item_id", "item_id"), names.get("item_text", "text"), without_id=True):
         docs = docs.filter(F.size(matcher(block, rate)(F.col(text))) == 0)
     return docs

@@ -249,6 +249,14 @@ def test_items_are_found_as_by_brute_force(spark):
     assert decontam.contaminated(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_short_items_and_items_without_id(spark):
+    texts = ["who Is  it? they asked", "xwho is it? no", "the item without any id is here", "nothing"]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(7, "Who is it"), (None, "item without any id is"), (8, " "), (9, None)], "item_id long, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, bench).collect()] == [(0, 7, 0, 0, 9)]
+    assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {1, 3}
+
+
 # quality classifier
 
 
