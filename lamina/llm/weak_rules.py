@@ -2,9 +2,13 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. How far a
 rule can be trusted isn't set by hand: expectation-maximisation over the counts
-of vote patterns estimates, for every rule, how often its votes are right,
-and the share of good documents. The posterior probability of
-"good" given all votes replaces the rule that every test must pass.
+of vote patterns estimates the share of good documents and how often every rule
+casts each vote on them and on bad ones. Bad documents come in kinds, one
+for each family of rules (symbols, repetition, form), as junk of one kind is in order
+by the rules of another; given the kind, rules are taken as independent. An
+abstention is an outcome like the votes, as many rules only ever speak against a
+document. The posterior probability of "good" given all outcomes replaces the rule
+that every test must pass.
 
 All work on rows is DataFrame expressions. The driver sees only pattern counts:
 at most 3 to the number of rules, whatever the number of documents.
@@ -13,6 +17,7 @@ at most 3 to the number of rules, whatever the number of documents.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,10 +25,14 @@ from .scratch import Scratch
 
 #: Base rule: fewer words fail; a larger share of repeated words fails.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-#: Start of EM: share of good documents; share of a rule's votes that are right.
-PRIOR, RIGHT = 0.8, 0.8
-#: Rounds of EM, and votes that the start counts as.
-ROUNDS, SMOOTHING = 100, 10.0
+#: Start of EM: share of good documents, and rates of the votes of a rule on documents that
+#: have nothing to do with it and on those of its kind.
+PRIOR = 0.7
+HEALTHY, SICK = {-1: 0.05, 0: 0.475, 1: 0.475}, {-1: 0.5, 0: 0.25, 1: 0.25}
+#: Most rounds of EM, and documents of each class that the start counts as.
+ROUNDS, SMOOTHING = 500, 10.0
+#: What a rule may say.
+OUTCOMES = (-1, 0, 1)
 
 #: Java's ``\\s`` is ``[\\x20\\x09-\\x0D]``.
 SPACE = r"\s+"
@@ -96,49 +105,72 @@ def rules() -> dict[str, Column]:
     stops, mean, varied = _share("n_stops", "n_words"), _share("word_chars", "n_words"), _share("n_distinct", "n_words")
     never = F.lit(False)
     return {
-        "few_symbols": _vote(never, symbols > 0.1),
-        "symbols_in_text": _vote(never, _share("n_symbols", "word_chars") > 0.02),
+        "few_symbols": _vote(never, (symbols > 0.1) | (_share("n_symbols", "word_chars") > 0.02)),
         "no_symbol_runs": _vote(never, _share("n_glued", "n_words") > 0.02),
         "few_dup_lines": _vote(never, dups > 0.2),
         "few_repeats": _vote(never, repeats > 0.3),
         "varied_words": _vote((n >= 20) & (varied > 0.5), (n >= 20) & (varied < 0.15)),
         "word_length": _vote(never, (n > 0) & ((mean < 2.5) | (mean > 14))),
-        "no_shouting": _vote(never, _share("n_shouts", "n_words") > 0.05),
-        "few_exclaims": _vote(never, _share("n_exclaims", "n_words") > 0.1),
+        "no_shouting": _vote(never, (_share("n_shouts", "n_words") > 0.05) | (_share("n_exclaims", "n_words") > 0.1)),
         "has_sentences": _vote((stops > 0.02) & (stops < 0.3), (n >= 20) & (stops < 0.005)),
         "not_empty": _vote(never, n == 0),
     }
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """Prior of good, and each rule's accuracy: how often its votes are right.
+#: The family of each rule of ``rules``, in order.
+KINDS = (1, 1, 2, 2, 2, 3, 3, 3, 3)
 
-    Whether a rule abstains says nothing of the class. E step: posterior of each
-    vote pattern; M step: a rule's accuracy is the expected share of right votes.
-    Accuracies start at and are smoothed toward RIGHT, and a rule is better than
-    chance, so that the classes can't swap. No documents: the start itself."""
-    n_rules, total = len(next(iter(patterns), ())), sum(patterns.values())
-    prior, right = PRIOR, [RIGHT] * n_rules
-    for _ in range(rounds if total else 0):
-        good, hits, votes_of = 0.0, [SMOOTHING * RIGHT] * n_rules, [SMOOTHING] * n_rules
-        for votes, n in patterns.items():
-            p = posterior(votes, prior, right)
-            good += n * p
-            for j, v in enumerate(votes):
-                if v:
-                    votes_of[j] += n
-                    hits[j] += n * (p if v > 0 else 1 - p)
-        prior = min(0.95, max(0.5, good / total))
-        right = [min(0.99, max(0.55, h / n)) for h, n in zip(hits, votes_of, strict=True)]
-    return prior, right
 
+@dataclass
+class Model:
+    """Shares of good documents and of each kind of bad ones, and by class and rule the rates of its outcomes."""
+
+    shares: list[float]
+    rates: list[list[dict[int, float]]]
+
+    def classes(self, votes: tuple[int, ...]) -> list[float]:
+        """Posterior of each class."""
+        logs = [math.log(s) + sum(math.log(r[v]) for r, v in zip(rates, votes, strict=True)) for s, rates in zip(self.shares, self.rates, strict=True)]
+        top = max(logs)
+        odds = [math.exp(x - top) for x in logs]
+        return [x / sum(odds) for x in odds]
+
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        return self.classes(votes)[0]
+
+    def accuracy(self, rule: int) -> float:
+        """Share of the rule's votes that are right."""
+        at = [(s * rates[rule][1], s * rates[rule][-1]) for s, rates in zip(self.shares, self.rates, strict=True)]
+        right = at[0][0] + sum(bad for _, bad in at[1:])
+        return right / sum(map(sum, at))
 
-def _logit(p: float) -> float:
-    return math.log(p / (1 - p))
 
+def start(kinds: tuple[int, ...]) -> Model:
+    n = max(kinds, default=1)
+    return Model([PRIOR, *[(1 - PRIOR) / n] * n], [[dict(SICK if k == c else HEALTHY) for k in kinds] for c in range(n + 1)])
 
-def posterior(votes: tuple[int, ...], prior: float, right: list[float]) -> float:
-    return 1 / (1 + math.exp(-_logit(prior) - sum(v * _logit(right[j]) for j, v in enumerate(votes) if v)))
+
+def estimate(patterns: dict[tuple[int, ...], int], kinds: tuple[int, ...] = KINDS, rounds: int = ROUNDS) -> Model:
+    """E step: posteriors of each vote pattern; M step: expected shares and rates.
+
+    The start says which class is the good one and which rules a kind of bad
+    documents fails, and counts as SMOOTHING documents of each class, so that no rate is
+    0; nothing else bounds the estimates. Ends when the shares stand still. No documents: the start."""
+    model = start(kinds)
+    for _ in range(rounds if patterns else 0):
+        first = start(kinds)
+        weight = [SMOOTHING] * len(first.shares)
+        sums = [[{v: SMOOTHING * x for v, x in rule.items()} for rule in rates] for rates in first.rates]
+        for votes, n in patterns.items():
+            for c, p in enumerate(model.classes(votes)):
+                weight[c] += n * p
+                for rule, v in zip(sums[c], votes, strict=True):
+                    rule[v] += n * p
+        before, shares = model.shares, [w / sum(weight) for w in weight]
+        model = Model(shares, [[{v: x / w for v, x in rule.items()} for rule in rates] for rates, w in zip(sums, weight, strict=True)])
+        if max(abs(x - y) for x, y in zip(before, shares, strict=True)) < 1e-7:
+            break
+    return model
 
 
 def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cut: float = 0.5) -> DataFrame:
@@ -154,10 +186,15 @@ def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cut: f
     voted = scratch.save(features(docs, doc_id, text).withColumns({f"rule_{k}": v.cast("int") for k, v in votes.items()}))
     names = [f"rule_{k}" for k in votes]
     counts = {tuple(r[:-1]): r[-1] for r in voted.groupBy(*names).count().collect()}
-    prior, right = estimate(counts)
-    x = F.lit(_logit(prior))
-    for name, accuracy in zip(names, right, strict=False):
-        x = x + F.col(name) * _logit(accuracy)
+    model = estimate(counts)
+
+    def log_odds(c: int) -> Column:
+        """Of class c against good, given the votes of the row."""
+        x = F.lit(math.log(model.shares[c] / model.shares[0]))
+        for name, r, g in zip(names, model.rates[c], model.rates[0], strict=True):
+            x = x + F.when(F.col(name) == 1, math.log(r[1] / g[1])).when(F.col(name) == -1, math.log(r[-1] / g[-1])).otherwise(math.log(r[0] / g[0]))
+        return x
+
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * int(100 * MOST_REPEATED))
-    p = 1.0 / (1.0 + F.exp(-x))
+    p = 1.0 / sum((F.exp(log_odds(c)) for c in range(1, len(model.shares))), F.lit(1.0))
     return voted.withColumn("base_failed", failed).withColumn("posterior", p).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= cut))
