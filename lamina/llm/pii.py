@@ -9,6 +9,7 @@ span found in the rewritten text is a span of the source.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -82,7 +83,7 @@ def plain(text: str) -> dict[str, list[Span]]:
     return {k: f(text) if digits or k == "email" else [] for k, f in FINDERS.items()}
 
 
-# Letters of other scripts that look like an ASCII character, and invisible characters.
+# Letters of other scripts that look like an ASCII character, as code points.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ѕ": "S",
@@ -90,6 +91,7 @@ HOMOGLYPHS = {
     "ı": "i", "ɡ": "g", "ℓ": "l", "․": ".", "。": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-",
     " ": " ", " ": " ", " ": " ", " ": " ",
 }
+# Characters that don't show.
 INVISIBLE = "­​‌‍⁠﻿"
 # Spelled digits of the corpus languages, without words that are common otherwise.
 SPELLED = {
@@ -98,25 +100,61 @@ SPELLED = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Names of characters in markup.
+ENTITIES = {"commat": "@", "period": ".", "nbsp": " ", "plus": "+", "hyphen": "-", "lowbar": "_", "lpar": "(", "rpar": ")"}
+# Letters written for digits.
+LETTERS = str.maketrans("lIOo", "1100")
+
+
+def _forms() -> dict[str, str]:
+    """Every character that stands for an ASCII one: those above, digits of all
+    scripts, and compatibility forms (wide, mathematical, circled, raised)."""
+    out = dict.fromkeys(INVISIBLE, "")
+    for i in range(0x80, 0x1FC00):
+        c = chr(i)
+        digit = unicodedata.digit(c, None)
+        if new := HOMOGLYPHS.get(c) or (str(digit) if digit is not None else unicodedata.normalize("NFKC", c) if unicodedata.decomposition(c).startswith(("<wide>", "<font>")) else ""):
+            if len(new) == 1 and new.isascii():
+                out[c] = new
+    return out
+
 
-ODD = re.compile(f"[{INVISIBLE}{''.join(map(re.escape, HOMOGLYPHS))}！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff①-⑨¹²³⁰-⁹₀-₉]")
+FORMS = _forms()
+ODD = re.compile(r"[^\x00-\x7F]")
+ENTITY = re.compile(rf"&(?:#([0-9]{{1,6}})|#[xX]([0-9A-Fa-f]{{1,5}})|({'|'.join(ENTITIES)}));")
 WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 #: At least three digits, one of them spelled, are a number; a spelled digit in prose is not.
 NUMBER = re.compile(rf"(?<!\w)(?:{WORD}|plus|dot|point|[0-9])(?:(?:[ ,-]+|[ ]?[().][ ]?)(?:{WORD}|dot|point|[0-9])(?!\w)){{2,}}", re.I)
 NUMBER_WORD = re.compile(rf"{WORD}|plus|dot|point", re.I)
 NUMBER_HINT = re.compile(rf"(?<!\w){WORD}[ ,-]+(?:{WORD}|dot|point|[0-9])(?!\w)", re.I)
-LABEL = r"[A-Za-z0-9-]+"
-AT = r"(?:[ ]*[(\[{<][ ]*(?:at|@|arroba|chez)[ ]*[)\]}>][ ]*|[ ]+@[ ]*|[ ]*@[ ]+)"
-WORD_AT = r"[ ]+(?:at|arroba)[ ]+"
-DOT = r"(?:[ ]*[(\[{<][ ]*(?:dot|\.|punto|point|punkt)[ ]*[)\]}>][ ]*|[ ]+(?:dot|punto|punkt)[ ]+)"
-NAME = rf"[A-Za-z0-9._%+-]+(?:{DOT}[A-Za-z0-9._%+-]+)*"
-# Top-level domains that end an address spelled in bare words.
-TOP = "(?:com|org|net|edu|gov|info|biz|io|dev|app|ai|co|uk|de|fr|es|it|nl|eu|ch|at|be|ca|us|au|in|jp|cn|br|mx)"
-#: With ``at`` as a bare word, a disguised dot and a top-level domain must follow: prose has the word too.
-DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>{NAME})(?:(?:{AT})(?P<host>{LABEL}(?:(?:{DOT}|\.){LABEL})+)|(?:{WORD_AT})(?P<host2>{LABEL}(?:(?:{DOT}|\.){LABEL})*(?:{DOT}{TOP})(?![A-Za-z0-9-]))|@(?P<host3>{LABEL}(?:(?:{DOT}|\.){LABEL})+))", re.I)
-DISGUISE_HINT = re.compile(r"[(\[{<][ ]*(?:at|@|arroba|chez)[ ]*[)\]}>]|[ ]@|@[ ]|[ ](?:dot|punto|punkt)[ ]|[(\[{<][ ]*(?:dot|\.|punto|point|punkt)[ ]*[)\]}>]", re.I)
+#: Characters of a number with letters among its digits, and groups of a card cut by other signs.
+MIXED = re.compile(r"(?<![A-Za-z0-9])[+]?[(]?[0-9lIOo]++(?![A-Za-z])(?:[ ().-]++[0-9lIOo]++(?![A-Za-z]))*+")
+MIXED_HINT = re.compile(r"[0-9][lIOo]|[lIOo][0-9]")
+GROUPS = re.compile(r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9]|\.[0-9])")
+#: An address is found from its ``at``: a sign in brackets, dashes or underscores, a lone sign, or the bare word.
+OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
+AT = re.compile(rf"[ ]*+{OPEN}[ ]*+(?:at|@|arroba|chez)[ ]*+{CLOSE}[ ]*+|[ ]*+(?P<cut>[-_]++)(?:at|arroba)[-_]++[ ]*+|(?P<sign>[ ]*+@[ ]*+)|(?P<word>[ ]++(?:at|arroba)[ ]++)", re.I)
+SPOKEN_DOT = rf"[ ]*+{OPEN}[ ]*+(?:dot|\.|punto|point|punkt)[ ]*+{CLOSE}[ ]*+|[ ]*+[-_]++(?:dot|punto|punkt)[-_]++[ ]*+|[ ]++(?:dot|punto|punkt)[ ]++"
+DOT = rf"(?:{SPOKEN_DOT}|[ ]++\.[ ]++)"
+LABEL = r"(?:[A-Za-z0-9]|-(?!-*(?:dot|punto|punkt)[-_]))++"
+HOST = re.compile(rf"{LABEL}(?:(?:{DOT}|\.){LABEL})++", re.I)
 DOT_PART = re.compile(DOT, re.I)
-HOST_DOTS = re.compile(rf"[0-9]+(?:(?:{DOT}|\.)[0-9]+){{3}}(?![0-9])", re.I)
+#: The part before an ``at``, read backward: names and dots in turn.
+NAME_BACK = re.compile(rf"(?:[A-Za-z0-9.%+_-](?<![-_](?=[-_](?:dot|tod)))|[ ]++(?:tod|otnup|tknup)[ ]++(?=[A-Za-z0-9])|[ ]*+[)\]}}>][ ]*+(?:tod|\.|otnup|tniop|tknup)[ ]*+[(\[{{<][ ]*+(?=[A-Za-z0-9]))++", re.I)
+# Top-level domains of more than two letters; any two letters are a country's.
+TOP = frozenset(
+    "com org net edu gov mil int info biz name pro aero coop museum arpa asia cat jobs mobi tel travel post xxx app dev page blog shop store online site web website "
+    "tech cloud digital email live news media agency studio design art music wiki world life today space club group team company business finance bank money "
+    "health care clinic school academy university science research law legal live chat social network systems software solutions services support tools "
+    "berlin hamburg koeln bayern wien paris london madrid barcelona eus gal bzh test example invalid local onion".split()
+)
+# countries' domains that follow "at the dot" in English prose.
+PROSE = frozenset("an as am at be by do go he if in is it me my no of on or so to up us we".split())
+#: What comes before an address in prose: with it, ``name at host.tld`` is one though nothing in it is disguised.
+CUE = re.compile(r"(?:e-?mail|mail|contact|reach|write|address|correo|courriel|kontakt|adresse|contacto)\w*[^.!?\n]{0,30}$", re.I)
+HOST_DOTS = re.compile(rf"(?<![0-9])[0-9]++(?:(?:{SPOKEN_DOT}|\.)[0-9]++){{3}}(?![0-9])", re.I)
+HINT = re.compile(rf"@|{OPEN}[ ]*+(?:at|arroba|chez)[ ]*+{CLOSE}|[-_](?:at|arroba)[-_]|[ ](?:at|arroba)[ ]", re.I)
+DOT_HINT = re.compile(rf"[0-9](?:{SPOKEN_DOT})[0-9]", re.I)
 
 
 class Tape:
@@ -143,12 +181,19 @@ class Tape:
 
 
 def ascii_forms(tape: Tape) -> Tape:
+    if tape.text.isascii():
+        return tape
+    return tape.rewrite([(m.start(), m.end(), FORMS[m[0]]) for m in ODD.finditer(tape.text) if m[0] in FORMS])
+
+
+def entities(tape: Tape) -> Tape:
     edits = []
-    for m in ODD.finditer(tape.text):
-        c = m[0]
-        new = "" if c in INVISIBLE else HOMOGLYPHS.get(c) or unicodedata.normalize("NFKC", c)
-        if new != c and len(new) <= 1 and new.isascii():
-            edits.append((m.start(), m.end(), new))
+    if "&" in tape.text:
+        for m in ENTITY.finditer(tape.text):
+            code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else 0
+            new = ENTITIES[m[3]] if m[3] else chr(code) if 32 <= code < 127 else FORMS.get(chr(code)) if code < 0x110000 else None
+            if new is not None:
+                edits.append((m.start(), m.end(), new))
     return tape.rewrite(edits)
 
 
@@ -163,17 +208,83 @@ def spelled_digits(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-def signs(tape: Tape) -> Tape:
+def mixed_digits(tape: Tape) -> Tape:
+    """Letters for digits in what has seven digits at least and more digits than
+    letters; other signs between the groups of a card as blanks."""
+    edits = []
+    for m in MIXED.finditer(tape.text) if MIXED_HINT.search(tape.text) else ():
+        if len(m[0]) >= 8 and not m[0].isdigit():
+            letters, digits = sum(map(str.isalpha, m[0])), sum(map(str.isdigit, m[0]))
+            if letters and digits >= 7 and digits > letters:
+                edits.append((m.start(), m.end(), m[0].translate(LETTERS)))
+    tape = tape.rewrite([(a + i, a + i + 1, c) for a, b, new in edits for i, c in enumerate(new) if c != tape.text[a + i]])
+    return tape.rewrite([(m.start() + i, m.start() + i + 1, " ") for m in GROUPS.finditer(tape.text) for i in (4, 9, 14)])
+
+
+def _known(host: str, prose: bool) -> bool:
+    top = host.rpartition(".")[2].lower()
+    return top in TOP or len(top) == 2 and top.isalpha() and not (prose and top in PROSE)
+
+
+def disguised(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn disguised addresses plain. From each ``at`` the host is read
+    forward, then the name backward as far as the last address: every character is
+    read a bounded number of times."""
     edits: list[tuple[int, int, str]] = []
-    if DISGUISE_HINT.search(tape.text):
-        for m in DISGUISED.finditer(tape.text):
-            host = m["host"] or m["host2"] or m["host3"]
-            edits.append((m.start(), m.end(), f"{DOT_PART.sub('.', m['name'])}@{DOT_PART.sub('.', host)}"))
-        taken = [(a, b) for a, b, _ in edits]
+    last, at = 0, AT.search(text)
+    while at:
+        following = at.end()
+        host = HOST.match(text, at.end())
+        found = host and _address(text, at, host, last)
+        if found:
+            edits.append(found)
+            last = following = found[1]
+        at = AT.search(text, following)
+        # a host or name can't hold an at: what comes before it is read once
+        last = max(last, following if not found else last)
+    return edits
+
+
+def _address(text: str, at: re.Match, host: re.Match, last: int) -> tuple[int, int, str] | None:
+    plain_host = DOT_PART.sub(".", host[0])
+    spoken = plain_host != host[0]
+    if at["sign"] == "@" and not spoken:
+        name = NAME_BACK.match(text[last : at.start()][::-1])
+        if not name or not DOT_PART.search(name[0][::-1]):
+            return None  # plain already
+    # a stop with blanks around it is one of prose, a word at is, and so are dashes: these need a domain that exists
+    careful = at["word"] or at["cut"] or " . " in host[0] or at["sign"] is not None and spoken
+    prose = at["word"] is not None and spoken
+    if careful and not _known(plain_host, prose):
+        # the sentence may go on after the domain
+        cut = re.match(rf"{LABEL}(?:(?:{DOT}|\.){LABEL})", host[0], re.I)
+        plain_host = DOT_PART.sub(".", cut[0]) if cut else ""
+        if not cut or not _known(plain_host, prose):
+            return None
+        host = HOST.match(text[: host.start() + cut.end()], host.start()) or host
+    name = NAME_BACK.match(text[last : at.start()][::-1])
+    if not name:
+        return None
+    start = at.start() - len(name[0])
+    own = DOT_PART.sub(".", text[start : at.start()])
+    if at["word"] and not spoken and not re.search(r"[0-9._%+-]", own.strip(".")):
+        before = text[max(0, start - 40) : start]
+        if before.rstrip(" \t\"'(:<").rpartition("\n")[2] and not before.endswith((":", ": ", "(", "<", '"')) and not CUE.search(before):
+            return None
+    return start, host.end(), f"{own}@{plain_host}"
+
+
+def signs(tape: Tape) -> Tape:
+    edits = disguised(tape.text) if HINT.search(tape.text) else []
+    if DOT_HINT.search(tape.text):
+        starts = [a for a, _, _ in edits]
+        more = []
         for m in HOST_DOTS.finditer(tape.text):
-            if DOT_PART.search(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-                edits.append((m.start(), m.end(), DOT_PART.sub(".", m[0])))
-    return tape.rewrite(sorted(edits))
+            i = bisect.bisect_left(starts, m.end())
+            if DOT_PART.search(m[0]) and not (i and edits[i - 1][1] > m.start()):
+                more.append((m.start(), m.end(), DOT_PART.sub(".", m[0])))
+        edits = sorted(edits + more)
+    return tape.rewrite(edits)
 
 
 def spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
@@ -182,13 +293,15 @@ def spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]
     if not text:
         return {k: [] for k in KINDS}, {k: [] for k in KINDS}
     base = plain(text)
-    tape = signs(spelled_digits(ascii_forms(Tape(text))))
+    tape = signs(mixed_digits(spelled_digits(ascii_forms(entities(Tape(text))))))
     more: dict[str, list[Span]] = {k: [] for k in KINDS}
     if tape.spans is not None:
         for kind, found in plain(tape.text).items():
             own = base[kind]
+            starts = [a for a, _ in own]
             for a, b in (tape.source(*s) for s in found):
-                if not any(x <= a and b <= y for x, y in own):
+                i = bisect.bisect_right(starts, a)
+                if not i or own[i - 1][1] < b:
                     more[kind].append((a, b))
     return base, more
 
@@ -200,10 +313,10 @@ def listed(found: dict[str, list[Span]]) -> str:
 def report(text: str | None) -> tuple:
     base, more = spans(text)
     both = {k: base[k] + more[k] for k in KINDS}
-    return (*[len(base[k]) for k in KINDS], hashlib.sha256(listed(base).encode()).hexdigest(), listed(both), sum(map(len, more.values())))
+    return (*[len(base[k]) for k in KINDS], hashlib.sha256(listed(base).encode()).hexdigest(), listed(both), sum(map(len, more.values())), sum(map(len, both.values())))
 
 
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long"
 
 
 def reports(text: Column) -> Column:
@@ -221,7 +334,7 @@ def reports(text: Column) -> Column:
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, counts of base spans by kind, base_sha256,
     spans (all, ``kind:start:end`` in code points, by kind and start) and
-    n_disguised, how many of them only the rewritten text shows.
+    n_disguised, how many of them only the rewritten text shows, and n_spans, how many there are.
 
     Null and empty texts have no spans. Whole texts are searched, in time linear
     in their length. Rows are independent of each other, so repeated rows and null ids need no
