@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: The training sample: pieces per language and characters of each.
 PIECES, PIECE_CHARS = 128, 1500
@@ -23,33 +23,34 @@ LEVEL = 6
 #: Bytes of letters under which the strong compressor is used.
 SHORT = 300
 SHORT_LEVEL = 13
-#: A decision is rejected if the runner-up needs less than this many bytes more.
-MARGIN = 1
+#: A decision is rejected if the runner-up needs less than this many bytes more: one or
+#: two bytes are what a single match or a length field costs.
+MARGIN = 3
 #: Bytes of margin that multiply the odds by e.
 TEMPERATURE = 2.0
 
 
-def fit_dictionaries(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", pieces: int = PIECES, chars: int = PIECE_CHARS) -> dict[str, bytes]:
-    """Dictionary content by language, from at most ``pieces`` texts of each
-    (those lowest by a hash of key and text), ``chars`` characters of each from
-    a hashed place. Rows with null lang or text without a letter don't count.
-    Memory on the driver: languages * pieces * chars."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("t")).filter(F.col("lang").isNotNull())
-    counts = dict(rows.groupBy("lang").count().collect())
+def fit_dictionaries(docs: DataFrame, *, text: str = "text", lang: str = "lang", pieces: int = PIECES, chars: int = PIECE_CHARS) -> dict[str, bytes]:
+    """Dictionary content by language, from at most ``pieces`` different texts of
+    each (those lowest by a hash of the text), ``chars`` characters of each from
+    a hashed place. Rows with null lang or text without a letter don't count, and
+    copies count once, whatever their ids. Memory on the driver: languages * pieces * chars."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("t")).filter(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    rows = rows.withColumn("h", F.xxhash64("t", F.lit("piece")))
+    counts = dict(rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect())
     if not counts:
         return {}
-    # a hash limit per language that leaves about four times the pieces wanted
-    limits = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, 4 * pieces / n))])
-    h = F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit("piece")), F.lit(1 << 30))
-    near = rows.withColumn("h", h).filter(F.col("h") < limits[F.col("lang")] * (1 << 30))
+    # a hash limit per language that leaves about four times the texts wanted
+    limits = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, 4 * pieces / max(1, n)))])
+    near = rows.filter(F.pmod("h", F.lit(1 << 30)) < limits[F.col("lang")] * (1 << 30))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("t") - chars, F.lit(1))) + 1
-    near = near.filter(F.col("t").rlike(r"\p{L}")).select("lang", "h", F.substring("t", start.cast("int"), F.lit(chars)).alias("piece"))
-    from pyspark.sql import Window as W
-
-    first = near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "piece"))).filter(F.col("n") <= pieces)
-    found: dict[str, dict[str, None]] = {}
+    near = near.select("lang", "h", F.substring("t", start.cast("int"), F.lit(chars)).alias("piece"))
+    # copies go before the shuffle
+    near = near.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+    first = near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).filter(F.col("n") <= pieces)
+    found: dict[str, list[str]] = {}
     for lang_, piece in first.orderBy("lang", "n").select("lang", "piece").collect():
-        found.setdefault(lang_, {})[piece] = None
+        found.setdefault(lang_, []).append(piece)
     return {k: normal("\n".join(v)) + HEADER for k, v in sorted(found.items())}
 
 
@@ -122,6 +123,6 @@ def identify(docs: DataFrame, contents: dict[str, bytes], *, text: str = "text",
 
     Texts that are null or have no letter: 'und', score 0, not accepted. Whole
     texts of any length are compressed. Ties between languages go to the first
-    by name and are not accepted. No dictionaries (nothing to learn from):
+    by name; like all margins under ``MARGIN`` bytes they are not accepted. No dictionaries (nothing to learn from):
     'und' throughout. Rows are independent: repeated rows get equal results."""
     return docs.withColumn(into, language(contents, F.col(text)))
