@@ -143,23 +143,26 @@ def fit(p: np.ndarray, u: np.ndarray) -> Model:
     return Model(edges, minimise(hp, hu, prior), prior)
 
 
-def _hashed(key: str, salt: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30))
+def _lowest(rows: DataFrame, most: int, what: Column) -> DataFrame:
+    """``what`` of the ``most`` rows with the lowest hashes ``h``, equal ones once. A limit on
+    the hash, by the number of different ones, leaves few more; ``what`` is computed of
+    these, in parallel, before they are sorted."""
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    near = rows.filter(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 1.5 * most / max(1, n)) * (1 << 30))).select("h", what.alias("x"))
+    return near.dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(most).select("x")
 
 
 def sample(docs: DataFrame, positives: DataFrame, *, text: str = "text", key: str = "doc_id", most_p: int = POSITIVES, most_u: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of at most about most_p texts whose key is in ``positives``
-    and most_u of all texts, by hash limits, so that a table of any size gives a bounded sample."""
-    n_p, n_u = positives.count(), docs.count()
-    if not n_p or not n_u:
-        return np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES)))
-    limit = lambda most, n: int(min(1.0, most / n) * (1 << 30))
-    trusted = positives.select(F.col(key).alias("__p")).filter(F.pmod(F.xxhash64("__p", F.lit("p")), F.lit(1 << 30)) < limit(most_p, n_p)).distinct()
-    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t"), (_hashed(key, "u") < limit(most_u, n_u)).alias("__u"))
-    rows = rows.join(F.broadcast(trusted), F.col("__k") == F.col("__p"), "left").filter(F.col("__u") | F.col("__p").isNotNull())  # most_p ids
-    got = rows.select(vector(F.col("__t")).alias("x"), F.col("__p").isNotNull().alias("p"), "__u").collect()
-    pick = lambda name: np.array([r["x"] for r in got if r[name]], float).reshape(-1, len(FEATURES))
-    return pick("p"), pick("__u")
+    """Feature rows of at most most_p texts whose key is in ``positives`` and most_u of
+    all texts: those lowest by a hash of key and text, equal rows once.
+
+    So neither repeated keys nor null ones change the bound or empty the sample; a
+    null key is no positive's. Texts become features where they lie; the driver gets these alone."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("row")).alias("h"))
+    named = positives.select(F.col(key).alias("p")).filter("p IS NOT NULL").withColumn("h", F.xxhash64(F.col("p").cast("string"), F.lit("p")))
+    trusted = rows.join(F.broadcast(_lowest(named, most_p, F.col("p"))), F.col("k") == F.col("x"), "left_semi")  # most_p ids
+    pick = lambda own, most: np.array([r[0] for r in _lowest(own, most, vector(F.col("t"))).collect()], float).reshape(-1, len(FEATURES))
+    return pick(trusted, most_p), pick(rows, most_u)
 
 
 def vector(text: Column) -> Column:
