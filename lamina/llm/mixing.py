@@ -5,9 +5,10 @@ in complete epochs first, and what is left is a weighted sample without
 replacement: every document draws an exponential key scaled by its quality
 weight, and documents are taken in key order until the budget is used.
 
-The prefix sum in key order never sorts a source: keys fall into a fixed number
-of buckets by value, bucket sizes are summed with map-side combine, and only
-the one bucket per source in which the budget ends is sorted.
+The prefix sum in key order never sorts a source: keys fall into buckets by their
+logarithm, so that whatever the weights of a source none has more than about
+a four hundredth of it (equal keys apart); bucket sizes are summed with map-side
+combine, and only the one bucket per source in which the budget ends is sorted.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .scratch import Scratch
 
-#: Key buckets of a source. More buckets: a smaller sorted remainder.
-BUCKETS = 4096
+#: Buckets of keys that differ by a factor of 2. More buckets: a smaller sorted remainder.
+BUCKETS = 256
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a share of all words, and the most epochs of a source.
@@ -44,10 +45,11 @@ def quality_weight(text: Column, words: Column) -> Column:
     return F.when(words > 0, words.cast("double") / (words.cast("double") + symbols * 5.0)).otherwise(1.0)
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: int = 0) -> Column:
-    """-ln(u) / weight with u in (0, 1) from the md5 of seed and doc_id (null
-    counts as empty), so a rerun on any partitioning draws the same."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def exponential_key(doc_id: Column, text: Column, weight: Column, seed: int = 0) -> Column:
+    """-ln(u) / weight with u in (0, 1) from the md5 of seed, doc_id and text (nulls
+    count as empty), so a rerun on any partitioning draws the same."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     return -F.log(u) / weight
 
@@ -82,8 +84,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     document at the budget's end is taken if that brings the source nearer.
 
     Null text: size 0, taken 0. Null source: a source of its own, last. Null
-    doc_id: sampled like an empty id. Repeated rows and equal keys: in order of
-    doc_id, then size; equal rows are interchangeable. An empty table or
+    doc_id: sampled like an empty id, by its text. Equal keys: in order of doc_id, then
+    size; equal rows draw the same key and are interchangeable. An empty table or
     one without words: targets 0, nothing taken. Other columns aren't read, so
     clashing names do no harm.
     """
@@ -92,9 +94,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(source).alias("source"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     base = base.withColumn("size", words)
     w = quality_weight(F.col("t"), F.col("size")) if weight is None else weight
-    base = base.withColumn("key", exponential_key(F.col("doc_id"), w, seed)).drop("t")
-    # 1 - e^-key keeps the order of keys and lies in [0, 1): the bucket is fixed by value
-    base = base.withColumn("bucket", F.least(F.floor((1.0 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    base = base.withColumn("key", exponential_key(F.col("doc_id"), F.col("t"), w, seed)).drop("t")
+    # keeps the order of keys: of exponential ones at most 1 / (e * 1.44 * buckets) of a source fall into one
+    base = base.withColumn("bucket", F.floor(F.log2("key") * buckets).cast("int"))
     base = scratch.save(base)
 
     by_bucket = base.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     per_source = plan.groupBy("source").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.first("left").alias("left"),
-        F.coalesce(F.max(F.when(F.col("whole") == 1, F.col("bucket"))), F.lit(-1)).alias("last_whole"),
+        F.coalesce(F.max(F.when(F.col("whole") == 1, F.col("bucket"))), F.lit(-(1 << 31))).alias("last_whole"),
         F.max(F.when(F.col("whole") == -1, F.struct("bucket", "before"))).alias("edge"),
     )
     per_source = per_source.select(F.col("source").alias("s"), "source_size", "target", "epochs", "left", "last_whole", F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("edge_before"))

@@ -78,16 +78,18 @@ WITH r AS (
   SELECT page_id,
     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
     || 'WARC-Record-ID: <urn:md5:' || md5(coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '')) || '>' || chr(13) || chr(10)
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\\r\\n]', '', 'g') || chr(13) || chr(10)
     || 'Content-Type: text/html' || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS rec
   FROM pages
 ), h AS (SELECT page_id, strlen(rec) + 4 AS length, sha256(rec) AS sha256 FROM r),
-f AS (SELECT *, ((('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT)
+k AS (SELECT *, (row_number() OVER (PARTITION BY page_id, sha256) - 1) // greatest(67108864 // length, 1) AS run FROM h),
+f AS (SELECT *, ((('0x' || substr(md5(sha256 || ':' || run::VARCHAR), 1, 8))::BIGINT)
         % (SELECT greatest(1, ceil(sum(length) / 67108864.0))::BIGINT FROM h))::INTEGER AS file,
-      substr(md5('drill' || coalesce(page_id::VARCHAR, '')), 1, 2) AS draw FROM h)
+      substr(md5('drill' || coalesce(page_id::VARCHAR, '')), 1, 2) AS draw FROM k)
 SELECT page_id, file,
-  coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+  coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
   length::BIGINT AS length, sha256, CASE draw WHEN '00' THEN 'altered' WHEN '01' THEN 'missing' ELSE 'intact' END AS status
 FROM f
 """
@@ -96,7 +98,7 @@ OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::DOUBLE AS symbols,
-    -ln((('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS e
+    -ln((('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS e
   FROM documents
 ), k AS (SELECT doc_id, source, size, e / (CASE WHEN size > 0 THEN size::DOUBLE / (size::DOUBLE + symbols * 5.0) ELSE 1.0 END) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
