@@ -131,10 +131,10 @@ def shard_records(docs: DataFrame, *, shards: int = 8, slots: int = SLOTS, doc_i
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law 'bytes', shard,
     slot, grown_shard (null: shards may move rows under this law),
-    virtual_slot, map_version, and the columns named in ``carry``. Places follow entry, then doc_id and
+    virtual_slot, map_version, and the columns named in ``carry`` as carry_0, carry_1, ... Places follow entry, then doc_id and
     text_crc32. With ``map_path`` the map is stored as version 1.
 
-    Null text: size 1, text_crc32 null. Null doc_id: last of its entry.
+    Null text: size 1, text_crc32 0 (of no bytes). Null doc_id: last of its entry.
     Repeated rows each have a place of their own; a slot made hot by one id and
     text alone can't be cut, as its rows can't be told apart. Empty table: empty result,
     empty map. Only the named columns are read, so clashing names do no harm.
@@ -145,7 +145,7 @@ def shard_records(docs: DataFrame, *, shards: int = 8, slots: int = SLOTS, doc_i
     base = scratch.save(
         docs.select(
             id_.alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + 1).alias("size"),
-            F.crc32(t.cast("binary")).alias("text_crc32"), slot_of(t, slots).alias("virtual_slot"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
+            F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"), slot_of(t, slots).alias("virtual_slot"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
         )
     )
     # at most `slots` rows
@@ -164,9 +164,9 @@ def shard_records(docs: DataFrame, *, shards: int = 8, slots: int = SLOTS, doc_i
         starts.append(used[slot_map.shard[e]])
         used[slot_map.shard[e]] += stats.get(e, (0, 0))[1]
 
-    in_entry = W.partitionBy("entry").orderBy(F.col("doc_id").asc_nulls_last(), F.col("text_crc32").asc_nulls_last(), "size")
+    in_entry = W.partitionBy("entry").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     return base.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(slot_map.shard, F.col("entry")).cast("int").alias("shard"),
         (_lookup(starts, F.col("entry")) + F.row_number().over(in_entry) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        "virtual_slot", F.lit(slot_map.version).alias("map_version"), *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
+        "virtual_slot", F.lit(slot_map.version).alias("map_version"), *[f"carry_{i}" for i in range(len(carry))],
     )
