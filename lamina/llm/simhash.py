@@ -28,6 +28,8 @@ from .graph import components
 from .scratch import Scratch
 
 SEED, WORDS, MAX_BITS = 42, 3, 2
+#: Fingerprints of a task that indexes them.
+DEALT = 250_000
 #: Shingles whose bits are summed at once.
 BLOCK = 1 << 14
 
@@ -81,6 +83,8 @@ def neighbours(fp: Column) -> Column:
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of ``fp`` within
     MAX_BITS bits. ``distinct`` has each fp once; it is read several times."""
+    # a file of fingerprints is small and its index 64 times that: dealt out before it grows
+    distinct = distinct.repartition(max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // DEALT)), "fp")
     indexed = distinct.select("fp", F.explode(signatures(F.col("fp"))).alias("key"))
     buckets = scratch.save(indexed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"))
     two = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v").distinct()
