@@ -126,11 +126,11 @@ class Index:
         return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, chars: int = BLOCK_CHARS, without_id: bool = False) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, item_id: str, text: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Distinct items, normalised, in blocks of at most ``chars`` characters (or one item)."""
     block: list[tuple[int, str]] = []
     size = 0
-    for i, t in benchmark.select(F.col(item_id), F.col(text)).filter(F.col(item_id).isNotNull() | F.lit(without_id)).distinct().toLocalIterator():
+    for i, t in benchmark.select(F.col(item_id), F.col(text)).distinct().toLocalIterator():
         t = normal(t)
         if not t:
             continue
@@ -149,8 +149,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", c
 
     Items are searched in blocks, each a pass over the texts with a bounded
     index, so a benchmark of any size works. Null and empty texts hold nothing; null and empty
-    items and items without id are not searched (``clean`` searches those without id); an id
-    with several texts is found by any of them (its least distance counts). Repeated
+    items are not searched; an id with several texts is found by any of them (its least
+    distance counts), and so are items without id, which share one row of null item_id. Repeated
     documents each have rows. Without items or documents the result is empty.
     """
     names = list(carry)
@@ -183,6 +183,6 @@ def _best_by_id(matches: list[tuple[int, int, int, int]]) -> list[dict]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", rate: float = RATE, **names: str) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns and other rows stay."""
-    for block in blocks(benchmark, names.get("item_id", "item_id"), names.get("item_text", "text"), without_id=True):
+    for block in blocks(benchmark, names.get("item_id", "item_id"), names.get("item_text", "text")):
         docs = docs.filter(F.size(matcher(block, rate)(F.col(text))) == 0)
     return docs
