@@ -117,6 +117,11 @@ def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series(out)
 
 
+def rouge_l_zh(prediction: Column, gold: Column) -> Column:
+    """As ``rouge_l``, of Chinese texts by their tokens."""
+    return rouge_l(F.array_join(zh_tokens(prediction), " "), F.array_join(zh_tokens(gold), " "))
+
+
 @F.pandas_udf(DoubleType())
 def code_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of the first line of code with gold, to two places."""

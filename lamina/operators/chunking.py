@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.functions.text import approx_tokens, sentences_en, sentences_zh, text_len, truncate_sentence, words
 
-from .scoring import Generator, hashed_counts, lexical_margin, sentence_loss
+from .scoring import Generator, batched_sentence_loss, hashed_counts, lexical_margin, sentence_loss
+
 
 def by_sentence():
     return W.partitionBy("doc_id").orderBy("sent_id")
@@ -85,23 +87,34 @@ class DynamicMinima:
 
 def find_minima_dynamic(losses: DataFrame, threshold: float = 0.0, per_document: bool = True) -> DataFrame:
     """As ``find_minima`` under a moving threshold. Its state feeds back into each
-    decision, so a document is a fold; ``per_document=False`` carries the state
-    from document to document in order of doc_id, which is one fold over losses
-    alone (no texts) and so bounded by what one task can read."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, parts = DynamicMinima(threshold), []
-        for _, own in rows.sort_values(["doc_id", "sent_id"]).groupby("doc_id", dropna=False, sort=True):
-            flags = [False] * len(own)
-            for i in state.boundaries(own["loss"].tolist()):
-                flags[i] = True
-            parts.append(own.assign(is_min=flags))
-        return pd.concat(parts)
-
+    decision, so a document is a fold; ``per_document=False`` carries the state from
+    document to document in order of doc_id: one fold over losses alone (no texts), a
+    sorted stream through one task that holds a batch and one document of it."""
     kind = {f.name: f.dataType.simpleString() for f in losses.schema}
     schema = f"doc_id {kind['doc_id']}, sent_id int, loss double, is_min boolean"
-    rows = losses.select("doc_id", "sent_id", "loss").withColumn("run", F.col("doc_id") if per_document else F.lit(0))
-    return rows.groupBy("run").applyInPandas(lambda own: run(own.drop(columns="run")), schema)
+    rows = losses.select("doc_id", "sent_id", "loss")
+
+    def flagged(own: pd.DataFrame, state: DynamicMinima) -> pd.DataFrame:
+        flags = [False] * len(own)
+        for i in state.boundaries(own["loss"].tolist()):
+            flags[i] = True
+        return own.assign(is_min=flags)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, left = DynamicMinima(threshold), None
+        for batch in batches:
+            both = batch if left is None else pd.concat([left, batch])
+            new = both["doc_id"].ne(both["doc_id"].shift()) & ~(both["doc_id"].isna() & both["doc_id"].shift().isna())
+            parts = [own for _, own in both.groupby(new.cumsum(), sort=False)]
+            left = parts.pop()  # may go on in the next batch
+            if parts:
+                yield pd.concat([flagged(own, state) for own in parts])
+        if left is not None:
+            yield flagged(left, state)
+
+    if per_document:
+        return rows.groupBy("doc_id").applyInPandas(lambda own: flagged(own.sort_values("sent_id"), DynamicMinima(threshold)), schema)
+    return in_order(rows, "doc_id", "sent_id").mapInPandas(stream, schema)
 
 
 def margin_chunks(sentences: DataFrame, score: Callable[[Column, Column], Column] = lexical_margin, window: int = 5, sep: str = " ") -> DataFrame:
@@ -161,32 +174,53 @@ def semantic_chunks(sentences: DataFrame, percentile: float = 0.74, embed: Calla
 
 def lumber_windows(sentences: DataFrame, limit: int = 550, lang: str = "en") -> DataFrame:
     """From each sentence, the last one whose numbered prompt lines stay within
-    ``limit`` approximate tokens (the sentence itself at least): doc_id, sent_id, last_sent."""
+    ``limit`` approximate tokens (the sentence itself at least): doc_id, sent_id, last_sent.
+
+    A numbered line has two words at least and so two tokens: no window is longer than half of ``limit``."""
     numbered = F.concat(F.lit("ID "), F.col("sent_id").cast("string"), F.lit(": "), F.col("sentence"))
     sized = sentences.withColumn("upto", F.sum(approx_tokens(numbered, lang)).over(by_sentence().rowsBetween(W.unboundedPreceding, 0)))
-    at = F.collect_list(F.struct("upto", "sent_id")).over(by_sentence().rowsBetween(W.currentRow, 200))
+    at = F.collect_list(F.struct("upto", "sent_id")).over(by_sentence().rowsBetween(W.currentRow, max(1, limit // 2)))
     start = F.coalesce(F.lag("upto").over(by_sentence()), F.lit(0))
     within = F.filter(at, lambda x: x["upto"] - F.col("start") < limit)
     return sized.withColumn("start", start).withColumn("last_sent", F.coalesce(F.array_max(F.transform(within, lambda x: x["sent_id"])), F.col("sent_id"))).select("doc_id", "sent_id", "last_sent")
 
 
-def lumber_chunks(sentences: DataFrame, choose: Callable[[list[str]], int], limit: int = 550, tail: int = 5) -> DataFrame:
-    """Windows of numbered sentences grow to ``limit`` approximate tokens;
-    ``choose`` names the offset at which the content turns (0: none, one
-    sentence goes). An offset outside the window is moved into it, so the fold
-    always ends. The last ``tail`` sentences are one chunk."""
+def lumber_chunks(sentences: DataFrame, choose: Callable[[list[str]], int] | None = None, limit: int = 550, tail: int = 5, *, generator: Generator | None = None, pattern: str = r"ID (\d+)", prompt: str = "{lines}", sep: str = "\n", lang: str = "en") -> DataFrame:
+    """Windows of numbered sentences grow to ``limit`` approximate tokens; the last ``tail``
+    sentences are one chunk.
+
+    ``choose`` names the offset in the window at which the content turns (0: none, one sentence
+    goes). Or a ``generator`` is shown the window's lines, joined by ``sep``, in ``prompt``, and the
+    first number that ``pattern`` finds in its reply is the sentence that begins the next chunk; a
+    number outside the window moves on by one sentence, and a reply without one by the window.
+    So the fold always ends."""
+
+    def turn(first: int, window: list[str]) -> int:
+        if generator is None:
+            return min(max(1, choose(window)), len(window))
+        lines = sep.join(f"ID {first + i}: {s}" for i, s in enumerate(window))
+        try:
+            reply = generator.generate([prompt.replace("{lines}", lines)])[0]
+        except Exception:
+            reply = None
+        found = re.search(pattern, reply or "")
+        if not found:
+            return len(window)
+        number = int(found[1] if found.re.groups else re.sub(r"\D", "", found[0]))
+        return number - first if first < number <= first + len(window) else 1
+
+    size = len if lang == "zh" else (lambda t: len(t.split()))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sent_id")
         own = rows["sentence"].tolist()
         ids, at, chunk = [], 0, 0
         while len(own) - at > tail:
-            end, size = at, 0
-            while end < len(own) and size < limit:
-                size += round(1.2 * len(f"ID {end}: {own[end]}".split()))
+            end, total = at, 0
+            while end < len(own) and total < limit:
+                total += round(1.2 * size(f"ID {end}: {own[end]}"))
                 end += 1
-            window = own[at : max(at + 1, end - 1)]
-            step = min(max(1, choose(window)), len(window))
+            step = turn(at, own[at : max(at + 1, end - 1)])
             ids += [chunk] * step
             at, chunk = at + step, chunk + 1
         ids += [chunk] * (len(own) - at)
@@ -196,6 +230,16 @@ def lumber_chunks(sentences: DataFrame, choose: Callable[[list[str]], int], limi
     return sentences.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, sent_id int, chunk_id int")
 
 
+def turn_by_score(score: Callable[[list[str]], list[float]]) -> Callable[[list[str]], int]:
+    """A choice for ``lumber_chunks``: the place with the first highest score (0: none turns)."""
+
+    def choose(window: list[str]) -> int:
+        scores = score(window)
+        return scores.index(max(scores)) if scores else 0
+
+    return choose
+
+
 def least_overlap(window: list[str]) -> int:
     """The sentence that shares least with the one before; first of equals."""
     sets = [set(s.lower().split()) for s in window]
@@ -204,22 +248,24 @@ def least_overlap(window: list[str]) -> int:
 
 
 def block_split(chunks: DataFrame, reply: Column, separator: str = "\n---\n") -> DataFrame:
-    """A generator's reply cut at the separator: doc_id, block_id, block; blank blocks go."""
+    """A generator's reply cut at the separator, taken literally: doc_id, block_id, block; blank blocks go."""
     from lamina.functions.text import strip
 
-    blocks = F.filter(F.transform(F.split(reply, separator), strip), lambda s: s != "")
+    cut = F.split(F.replace(reply, F.lit(separator), F.lit("\u0001")), "\u0001")
+    blocks = F.filter(F.transform(cut, strip), lambda s: s != "")
     return chunks.select("doc_id", F.posexplode(blocks).alias("block_id", "block"))
 
 
-def pack(pieces: DataFrame, target: int, lang: str = "en", order: str = "piece_id", piece: str = "piece") -> DataFrame:
+def pack(pieces: DataFrame, target: int, lang: str = "en", order: str = "piece_id", piece: str = "piece", sep: str | None = None) -> DataFrame:
     """Merges neighbours up to ``target`` words (or characters, without a
     blank between, for Chinese): doc_id, merged_id, first, last, text.
 
     A piece that is too long stands alone. The first group starts from empty
     text: in English it has a leading blank, and if the very first piece is
-    too long it comes out empty. Group numbers come from a fold over lengths;
-    texts are joined once."""
-    sep = "" if lang == "zh" else " "
+    too long it comes out empty. A ``sep`` given for Chinese counts as characters of the
+    merged text. Group numbers come from a fold over lengths; texts are joined once."""
+    between = len(sep) if sep and lang == "zh" else 0
+    sep = ("" if lang == "zh" else " ") if sep is None else sep
     rows = pieces.select("doc_id", F.col(order).alias("at"), F.col(piece).alias("piece"), text_len(F.col(piece), lang).alias("n"))
     per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "piece"))).alias("ps"))
     zero = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(0).alias("size"))
@@ -227,7 +273,8 @@ def pack(pieces: DataFrame, target: int, lang: str = "en", order: str = "piece_i
     def step(a: Column, p: Column) -> Column:
         fits = a["size"] + p["n"] <= target
         id_ = F.when(fits, a["id"]).otherwise(a["id"] + 1)
-        return F.struct(F.concat(a["ids"], F.array(id_)).alias("ids"), id_.alias("id"), F.when(fits, a["size"] + p["n"]).otherwise(p["n"]).alias("size"))
+        # the blank before a piece counts once the piece is in the text
+        return F.struct(F.concat(a["ids"], F.array(id_)).alias("ids"), id_.alias("id"), F.when(fits, a["size"] + p["n"] + between).otherwise(p["n"]).alias("size"))
 
     ids = per_doc.withColumn("ids", F.aggregate("ps", zero, step, lambda a: a["ids"]))
     flat = ids.select("doc_id", F.explode(F.arrays_zip("ids", "ps")).alias("x")).select("doc_id", F.col("x.ids").alias("merged_id"), F.col("x.ps.at").alias("at"), F.col("x.ps.piece").alias("piece"))
@@ -238,6 +285,36 @@ def pack(pieces: DataFrame, target: int, lang: str = "en", order: str = "piece_i
     return out.unionByName(leading)
 
 
+def pack_corpus(pieces: DataFrame, target: int, lang: str = "en", order: str = "piece_id", piece: str = "piece") -> DataFrame:
+    """As ``pack``, but across document borders, in order of (doc_id, order): merged_id and the
+    first and last piece of each group as (doc_id, order), and n, the pieces in it.
+
+    A group starts where the one before is full, so this is one fold over the whole
+    corpus. It runs on lengths alone, a sorted stream through one task that keeps two
+    numbers; texts stay where they are."""
+    sized = pieces.select("doc_id", F.col(order).alias("at"), text_len(F.col(piece), lang).alias("n"))
+    kind = {f.name: f.dataType.simpleString() for f in sized.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, size = 0, 0
+        for batch in batches:
+            ids = []
+            for n in batch["n"]:
+                group, size = (group, size + n) if size + n <= target else (group + 1, n)
+                ids.append(group)
+            yield batch[["doc_id", "at"]].assign(merged_id=ids)
+
+    placed = in_order(sized, "doc_id", "at").mapInPandas(run, f"doc_id {kind['doc_id']}, at {kind['at']}, merged_id long")
+    ends = F.struct("doc_id", "at")
+    return placed.groupBy("merged_id").agg(F.min(ends).alias("first"), F.max(ends).alias("last"), F.count("*").alias("n"))
+
+
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """All rows as one sorted stream, for a fold whose state passes from row to row: one task, so
+    rows have to be narrow; the sort spills."""
+    return rows.repartition(1).sortWithinPartitions(*by)
+
+
 def split_in_two(sentences: DataFrame, target: int) -> DataFrame:
     """doc_id, head, tail: whole sentences, unseparated, up to ``target`` words; the rest."""
     upto = F.sum(F.size(words(F.col("sentence")))).over(by_sentence().rowsBetween(W.unboundedPreceding, 0))
@@ -279,6 +356,32 @@ def propositions(packs: DataFrame, generator: Generator) -> DataFrame:
     return packs.select("doc_id", "merged_id", F.posexplode(F.from_json(reply, "array<string>")).alias("prop_id", "proposition"))
 
 
+#: Longest text, in words or characters, that is scored whole; longer ones go in batches.
+WHOLE = 4096
+
+
+def routed_ppl_chunks(docs: DataFrame, threshold: float = 0.0, *, dynamic: bool = False, batch_tokens: int = 4096, whole: int = WHOLE, lang: str = "en", sep: str = "") -> DataFrame:
+    """Valley chunks, where texts over ``whole`` in length are scored in batches of tokens (each
+    after a blank context) and the others whole. ``dynamic``: under a moving threshold."""
+    long_ = docs.filter(text_len(F.col("text"), lang) > whole).select("doc_id")
+    sentences = split_sentences(docs, lang)
+    losses = sentence_loss(sentences)
+    batched = batched_sentence_loss(sentences, batch_tokens).withColumnRenamed("loss", "batched").join(long_.withColumn("is_long", F.lit(True)), "doc_id")
+    both = sentences.join(losses, ["doc_id", "sent_id"], "left").join(batched, ["doc_id", "sent_id"], "left")
+    scored = both.withColumn("loss", F.when(F.col("is_long"), F.col("batched")).otherwise(F.col("loss"))).drop("batched", "is_long")
+    if dynamic:
+        flags = find_minima_dynamic(scored, threshold).select("doc_id", "sent_id", "is_min")
+        return gather(chunk_ids(scored.join(flags, ["doc_id", "sent_id"])), sep)
+    return gather(chunk_ids(find_minima(scored, threshold)), sep)
+
+
+def meta_chunks(docs: DataFrame, method: str = "ppl", lang: str = "en", threshold: float = 0.0, length: int = 147) -> DataFrame:
+    """doc_id, text: chunks of a method, merged to ``length``, one blank line between them."""
+    merged = chunk(docs, method, threshold=threshold, target=length, lang=lang)
+    parts = F.array_sort(F.collect_list(F.struct("merged_id", "text")))
+    return merged.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def chunk(docs: DataFrame, method: str = "ppl", *, threshold: float = 0.0, target: int | None = None, lang: str = "en") -> DataFrame:
     """Facade: ``ppl``, ``ppl_overlap``, ``margin``, ``semantic`` or ``lumber``
     chunks of docs (doc_id, text), merged up to ``target`` if given."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.functions.metrics import cosine
-from lamina.functions.text import bound, words
+from lamina.functions.text import words
 
 from .scoring import hashed_counts
 
@@ -23,14 +24,6 @@ def dissimilarity(chunks: DataFrame) -> DataFrame:
     return rows.select("doc_id", "chunk_id", F.round(1 - cosine(F.col("vector"), F.col("after")), 6).alias("dissimilarity"))
 
 
-def conditional_loss(context: Column, text: Column) -> Column:
-    """Stand-in for the summed loss of ``text`` after ``context``: each word
-    costs ln 2 if the context has it, else ln 20. Any pair scorer may replace it."""
-    w = words(F.lower(text))
-    known = bound(words(F.lower(context)), lambda c: F.size(F.filter(w, lambda x: F.array_contains(c, x))))
-    return known * math.log(2) + (F.size(w) - known) * math.log(20)
-
-
 def _loss(known: Column, n: Column) -> Column:
     return known * math.log(2) + (n - known) * math.log(20)
 
@@ -79,38 +72,65 @@ def strong_edges(weights: DataFrame, least: float = 0.8) -> DataFrame:
     return weights.filter((F.col("w") > least) & (F.col("i") != F.col("j")))
 
 
-def structural_entropy(edges: DataFrame) -> DataFrame:
-    """doc_id, entropy in bits of the share of edge ends at each node."""
+def structural_entropy(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, entropy in bits of the share of edge ends at each node, for every row of
+    ``documents`` (doc_id): 0 where there is no edge."""
     ends = edges.select("doc_id", F.explode(F.array("i", "j")).alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("d"))
     p = F.col("d") / F.sum("d").over(W.partitionBy("doc_id"))
-    return ends.withColumn("p", p).groupBy("doc_id").agg(F.round(F.sum(-F.col("p") * F.log2("p")), 6).alias("entropy"))
+    found = ends.withColumn("p", p).groupBy("doc_id").agg(F.round(F.sum(-F.col("p") * F.log2("p")), 6).alias("entropy"))
+    return documents.select("doc_id").join(found, "doc_id", "left").select("doc_id", (F.coalesce("entropy", F.lit(0.0)) + 0.0).alias("entropy"))
+
+
+def corpus_mean(measured: DataFrame, column: str) -> DataFrame:
+    """One row: the mean of a measure over documents, and their number."""
+    return measured.agg(F.round(F.avg(column), 6).alias(column), F.count(column).alias("n"))
+
 
+def mean_paths(nodes: list[int], weight: dict[tuple[int, int], float], start: int, tokens: dict[int, float] | None = None, cycles: bool = False, onward: bool = False) -> dict[int, list[int]]:
+    """Greedy paths from ``start`` in which a path's length is the mean weight of its edges: the
+    nearest open node is settled and its neighbours take the path through it if that lowers
+    their mean and makes no cycle.
 
-def mean_paths(nodes: list[int], weight: dict[tuple[int, int], float], start: int) -> dict[int, list[int]]:
-    """Greedy paths from ``start`` in which a path's length is the mean weight of
-    its edges: the nearest open node is settled and its neighbours take the
-    path through it if that lowers their mean and makes no cycle."""
+    With ``tokens`` an edge's weight is a sum over the tokens of the node it leads to, and the
+    mean is by token. ``cycles`` leaves out the check (a settled node isn't taken up again
+    all the same); ``onward`` keeps paths to nodes from ``start`` on only."""
+    size = (lambda v: tokens[v]) if tokens else (lambda v: 1)
     mean, hops, path = {start: 0.0}, {start: 0}, {start: [start]}
+    if tokens:
+        mean[start], hops[start] = weight.get((start, start), 0.0) / max(1, tokens[start]), tokens[start]
+    out_of: dict[int, list[int]] = {}
+    for u, v in weight:
+        if u != v:
+            out_of.setdefault(u, []).append(v)
     done: set[int] = set()
-    while len(done) < len(mean):
-        u = min((x for x in mean if x not in done), key=lambda x: (mean[x], x))
+    heap = [(mean[start], start)]
+    while heap:
+        at, u = heapq.heappop(heap)
+        if u in done or at > mean[u]:
+            continue
         done.add(u)
-        for v in nodes:
-            if v in path[u] or (u, v) not in weight:
+        for v in sorted(out_of.get(u, [])):
+            if v in done or not cycles and v in path[u]:
                 continue
-            new = (mean[u] * hops[u] + weight[u, v]) / (hops[u] + 1)
-            if v not in mean or (v not in done and new < mean[v]):
-                mean[v], hops[v], path[v] = new, hops[u] + 1, [*path[u], v]
-    return path
+            n = hops[u] + size(v)
+            new = (mean[u] * hops[u] + weight[u, v]) / n if n else 0.0
+            if v not in mean or new < mean[v]:
+                mean[v], hops[v], path[v] = new, n, [*path[u], v]
+                heapq.heappush(heap, (new, v))
+    return {v: p for v, p in path.items() if not onward or v >= start}
 
 
-def path_edges(weights: DataFrame) -> DataFrame:
-    """doc_id, i, j: the distinct edges on all mean paths between its chunks."""
+def path_edges(weights: DataFrame, variant: str = "edges") -> DataFrame:
+    """doc_id, i, j: the distinct edges on all mean paths between its chunks. ``weights`` has w; or for
+    the variants by token, ``tokens`` and ``onward`` (no cycle check, later chunks only), loss and n."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        weight = {(int(i), int(j)): float(w) for i, j, w in zip(rows["i"], rows["j"], rows["w"], strict=True) if i != j}
+        by_token = variant != "edges"
+        weight = {(int(i), int(j)): float(w) for i, j, w in zip(rows["i"], rows["j"], rows["loss" if by_token else "w"], strict=True) if by_token or i != j}
+        tokens = dict(zip(rows["j"].astype(int), rows["n"].astype(float), strict=True)) if by_token else None
         nodes = sorted({*rows["i"].astype(int), *rows["j"].astype(int)})
-        edges = sorted({e for s in nodes for p in mean_paths(nodes, weight, s).values() for e in zip(p, p[1:], strict=False)})
+        onward = variant == "onward"
+        edges = sorted({e for s in nodes for p in mean_paths(nodes, weight, s, tokens, onward, onward).values() for e in zip(p, p[1:], strict=False)})
         return pd.DataFrame([(rows["doc_id"].iloc[0], i, j) for i, j in edges], columns=["doc_id", "i", "j"])
 
     kind = weights.schema["doc_id"].dataType.simpleString()

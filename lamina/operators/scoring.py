@@ -6,53 +6,68 @@ each: what chunkers read are the columns described here.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import md5
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lamina.functions.text import words
+from lamina.functions.text import bound, words
+
+from .tables import saved
 
 #: Weight of the bigram against the unigram estimate.
 LAMBDA = 0.7
 
 
 def bigrams(sentences: DataFrame) -> DataFrame:
-    """doc_id, sent_id, v, w: each token with the one before it in the document
-    (null for the first). The window runs over sentences, not tokens."""
-    w = W.partitionBy("doc_id").orderBy("sent_id")
-    rows = sentences.select("doc_id", "sent_id", words(F.col("sentence")).alias("ws"))
-    rows = rows.filter(F.size("ws") > 0).withColumn("before", F.lag(F.element_at("ws", -1)).over(w))
+    """doc_id, sent_id, v, w, n: each token with the one before it in the document (null for
+    the first, and for the first of each ``batch`` if there is such a column), and how often the
+    sentence has the pair. The window runs over sentences, not tokens."""
+    run = [c for c in ("doc_id", "batch") if c in sentences.columns]
+    rows = sentences.select(*run, "sent_id", words(F.col("sentence")).alias("ws")).filter(F.size("ws") > 0)
+    rows = rows.withColumn("before", F.lag(F.element_at("ws", -1)).over(W.partitionBy(*run).orderBy("sent_id")))
     vs = F.concat(F.array("before"), F.slice("ws", 1, F.size("ws") - 1))
-    return rows.select("doc_id", "sent_id", F.explode(F.arrays_zip(vs.alias("v"), F.col("ws").alias("w"))).alias("p")).select("doc_id", "sent_id", F.col("p.v").alias("v"), F.col("p.w").alias("w"))
+    pairs = rows.select("doc_id", "sent_id", F.explode(F.arrays_zip(vs.alias("v"), F.col("ws").alias("w"))).alias("p"))
+    return pairs.groupBy("doc_id", "sent_id", F.col("p.v").alias("v"), F.col("p.w").alias("w")).agg(F.count("*").alias("n"))
 
 
 def fit_bigram(pairs: DataFrame) -> DataFrame:
-    """v, w, loss of every bigram seen: -ln of the interpolated probability."""
-    unigrams = pairs.groupBy("w").agg(F.count("*").alias("n"))
+    """v, w, loss, vw of every bigram seen: -ln of the interpolated probability, and how often it was."""
+    seen = pairs.groupBy("v", "w").agg(F.sum("n").alias("vw"))
+    unigrams = seen.groupBy("w").agg(F.sum("vw").alias("n"))
     total = unigrams.agg(F.sum("n").alias("tokens"), F.count("*").alias("vocabulary"))
-    seen = pairs.filter("v IS NOT NULL").groupBy("v", "w").agg(F.count("*").alias("vw"))
     of_v = unigrams.select(F.col("w").alias("v"), F.col("n").alias("nv"))
-    rows = seen.join(of_v, "v").join(unigrams, "w").crossJoin(F.broadcast(total))  # one row
+    rows = seen.filter("v IS NOT NULL").join(of_v, "v").join(unigrams, "w").crossJoin(F.broadcast(total))  # one row
     p = LAMBDA * F.col("vw") / F.col("nv") + (1 - LAMBDA) * (F.col("n") + 1) / (F.col("tokens") + F.col("vocabulary") + 1)
-    return rows.select("v", "w", (-F.log(p)).alias("loss"))
+    return rows.select("v", "w", (-F.log(p)).alias("loss"), "vw")
+
 
+#: Bigrams that are sent to all tasks: the most frequent ones, of two words and a number each.
+FREQUENT = 20_000
 
-def token_loss(pairs: DataFrame, model: DataFrame) -> DataFrame:
-    """The pairs with their loss; null for a document's first token."""
-    return pairs.join(model, ["v", "w"], "left")
 
+def token_loss(pairs: DataFrame, model: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """The pairs with their loss; null for a document's first token. The most frequent bigrams, which
+    would be hot keys, are sent to the pairs; the rest are joined by key."""
+    common = model.orderBy(F.col("vw").desc(), "v", "w").limit(frequent).select("v", "w", "loss")
+    known = pairs.join(F.broadcast(common), ["v", "w"], "left")  # at most `frequent` rows
+    rest = known.filter(F.col("loss").isNull() & F.col("v").isNotNull()).drop("loss").join(model.select("v", "w", "loss"), ["v", "w"], "left")
+    return known.filter(F.col("loss").isNotNull() | F.col("v").isNull()).unionByName(rest)
 
-def sentence_loss(sentences: DataFrame) -> DataFrame:
+
+def sentence_loss(sentences: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """doc_id, sent_id, loss: mean token loss to six places, under the model of
-    these sentences themselves; null if a sentence has no token with a loss.
+    these sentences themselves (or of ``fit_on``); null if a sentence has no token with a loss.
 
-    Equal bigrams in a sentence are combined before the loss is looked up."""
-    pairs = bigrams(sentences)
-    grouped = pairs.groupBy("v", "w", "doc_id", "sent_id").agg(F.count("*").alias("n"))
-    scored = token_loss(grouped, fit_bigram(pairs))
+    Equal bigrams in a sentence are combined before the loss is looked up. The pairs
+    are a table, written once and read by the model and the lookup."""
+    shared = saved(bigrams(sentences))
+    scored = token_loss(shared, saved(fit_bigram(shared if fit_on is None else bigrams(fit_on))))
     mean = F.sum(F.col("loss") * F.col("n")) / F.sum(F.when(F.col("loss").isNotNull(), F.col("n")))
     return scored.groupBy("doc_id", "sent_id").agg(F.round(mean, 6).alias("loss"))
 
@@ -105,26 +120,105 @@ class FirstSentence:
     """The built-in stand-in: the first sentence of the last paragraph."""
 
     def generate(self, prompts: list[str]) -> list[str | None]:
-        import re
-
         return [re.split(r"(?<=[.!?])\s+", p.strip().split("\n\n")[-1])[0] if p and p.strip() else None for p in prompts]
 
 
+@dataclass(frozen=True)
+class FirstWords:
+    """A stand-in that can be told beforehand: after some reasoning, the first ``n`` of the
+    words that blanks part in the prompt's last line; no reply where the prompt's length is
+    a multiple of ``refuses``, and an error where it is one of ``fails``."""
+
+    n: int = 12
+    refuses: int = 0
+    fails: int = 0
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        if self.fails and any(len(p) % self.fails == 0 for p in prompts):
+            raise ValueError("a prompt that fails")
+        return [None if self.refuses and len(p) % self.refuses == 0 else "<think>so</think> " + " ".join(p.rpartition("\n")[2].split(" ")[: self.n]) for p in prompts]
+
+
 def generate(generator: Generator, prompt: Column) -> Column:
-    """Replies, made per Arrow batch; a failed batch is retried prompt by prompt, and what fails then is null."""
+    """Replies, made per Arrow batch; null prompts aren't asked. A failed batch is retried prompt
+    by prompt, and what fails then is null."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def safe(one: str | None) -> str | None:
+        def safe(one: str) -> str | None:
             try:
-                return generator.generate([one])[0] if one is not None else None
+                return generator.generate([one])[0]
             except Exception:
                 return None
 
         for batch in batches:
+            out = pd.Series([None] * len(batch), dtype=object)
+            asked = batch[batch.notna()]
             try:
-                yield pd.Series(generator.generate(list(batch)), dtype=object)
+                replies = generator.generate(list(asked)) if len(asked) else []
             except Exception:
-                yield pd.Series([safe(p) for p in batch], dtype=object)
+                replies = [safe(p) for p in asked]
+            out[batch.notna().to_numpy()] = replies
+            yield out
 
     return run(prompt)
+
+
+#: A pair scorer: (context, text) to a number, as columns. ``lexical_margin``, ``conditional_loss``
+#: and ``text_similarity`` are some; a model's own is a pandas UDF of two columns.
+PairScorer = Callable[[Column, Column], Column]
+
+
+def conditional_loss(context: Column, text: Column) -> Column:
+    """Summed loss of ``text`` after ``context`` without a model: each word costs ln 2 if the
+    context has it, else ln 20."""
+    own = words(F.lower(text))
+    known = bound(words(F.lower(context)), lambda c: F.size(F.filter(own, lambda x: F.array_contains(c, x))))
+    return known * math.log(2) + (F.size(own) - known) * math.log(20)
+
+
+def mean_conditional_loss(context: Column, text: Column, loss: PairScorer = conditional_loss) -> Column:
+    """Loss by word of ``text``; null if it has none."""
+    return loss(context, text) / F.nullif(F.size(words(text)), F.lit(0))
+
+
+def text_similarity(a: Column, b: Column, embed: Callable[[Column], Column] | None = None) -> Column:
+    """Cosine of the embeddings of two texts; 0 if one has no word."""
+    from lamina.functions.metrics import cosine
+
+    embed = embed or hashed_counts
+    return cosine(embed(a), embed(b))
+
+
+def most_likely(scores: Column) -> Column:
+    """Place, from 0, of the first highest of an array of scores; null if empty."""
+    return F.nullif(F.array_position(scores, F.array_max(scores)), F.lit(0)) - 1
+
+
+def batched_sentence_loss(sentences: DataFrame, batch_tokens: int = 4096) -> DataFrame:
+    """As ``sentence_loss``, but the text of a document is read in batches of whole sentences of
+    about ``batch_tokens`` tokens, each after a blank context: the first token of a batch
+    has no loss. A batch ends with the sentence that reaches the limit."""
+    w = W.partitionBy("doc_id").orderBy("sent_id").rowsBetween(W.unboundedPreceding, -1)
+    sized = sentences.withColumn("ahead", F.coalesce(F.sum(F.size(words(F.col("sentence")))).over(w), F.lit(0)))
+    keyed = sized.withColumn("batch", F.floor(F.col("ahead") / batch_tokens))
+    return sentence_loss(keyed, fit_on=sentences)
+
+
+class Requests:
+    """A generator with settings that can be changed, and a call that never fails: '' where the inner one does."""
+
+    def __init__(self, inner: Generator, **params):
+        self.inner, self.params = inner, dict(params)
+
+    def update_params(self, **params) -> Requests:
+        return Requests(self.inner, **(self.params | params))
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for p in prompts:
+            try:
+                out.append(self.inner.generate([p])[0] or "")
+            except Exception:
+                out.append("")
+        return out

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lamina.functions import metrics as M, text as T
-from lamina.operators import guided
+from lamina.operators import chunking, evaluation, guided, scoring
 
-from .common import docs, registry, table, words_sql
+from .common import RAW_SENTENCES, cosine_sql, docs, hashed_sql, registry, reply_sql, table, words_sql
+from .texts import _merged
 
 QUERIES, SQL, query = registry()
 
@@ -54,9 +55,9 @@ def normalize_answer(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.normalize_answer(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT '你好world' AS normal")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[" + T.CJK_PUNCTUATION.replace("–", "\\x{2013}") + r"]', '', 'g'), '\s+', '', 'g')) AS digest FROM documents")
 def normalize_zh(spark, sf_dir):
-    return spark.sql("SELECT '你，好！ World。' AS t").select(T.normalize_zh(F.col("t")).alias("normal"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_zh(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query(_f1(words_sql("a"), words_sql("b")))
@@ -74,10 +75,10 @@ def count_score(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(M.number_share(F.col("text"), F.lit("555")), 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.5::DOUBLE), (2, 0.0), (3, 0.0)) t(id, score)")
+@query(r"WITH n AS (SELECT doc_id, regexp_extract_all(text, '\d+') AS ns FROM documents) SELECT doc_id, round(CASE WHEN len(ns) > 0 THEN len(list_filter(ns, lambda x: x = (doc_id % 60)::VARCHAR)) / len(ns)::DOUBLE ELSE 0.0 END, 6) AS score FROM n")
 def retrieval_score(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'it is 3 or 4', 'Paragraph 3'), (2, 'none', 'Paragraph 3'), (3, '30', 'Paragraph 3') AS t(id, p, g)")
-    return rows.select("id", M.retrieval_score(F.col("p"), F.col("g")).alias("score"))
+    gold = F.concat(F.lit("Paragraph "), (F.col("doc_id") % 60).cast("string"))
+    return docs(spark, sf_dir).select("doc_id", F.round(M.retrieval_score(F.col("text"), gold), 6).alias("score"))
 
 
 @query()
@@ -120,10 +121,18 @@ def binary_classification(spark, sf_dir):
     return c.select(share(F.col("ok"), F.col("n")).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-@query("SELECT 0.5::DOUBLE AS recall, 1.0::DOUBLE AS f1, 2 AS n")
+_QUEST = _f1(words_sql("a"), words_sql("b")).replace("SELECT conv_id, turn, round(", ", o AS (SELECT conv_id, turn, round(").replace("round(CASE", "CASE").replace("END, 6) AS f1 FROM c", "END AS f1 FROM c)")
+
+
+@query(_QUEST + """, s AS (SELECT conv_id, turn, f1, turn % 3 <> 0 AS asked, turn % 3 <> 0 AND (turn + conv_id) % 4 <> 0 AS done FROM o)
+SELECT conv_id, round(CASE WHEN count(*) FILTER (WHERE asked) > 0 THEN count(*) FILTER (WHERE done) / (count(*) FILTER (WHERE asked))::DOUBLE ELSE 0.0 END, 6) AS recall,
+  round(coalesce(avg(f1) FILTER (WHERE done), 0.0), 6) AS f1, count(*) FILTER (WHERE asked) AS n FROM s GROUP BY conv_id""")
 def quest_eval(spark, sf_dir):
-    rows = spark.sql("SELECT array('a b', 'c', 'none') AS g, array('a b', 'none', 'x') AS a")
-    return rows.select(M.quest_eval(F.col("g"), F.col("a"), "none").alias("r")).select("r.*")
+    """A turn as gold answer, the next as answer; some are undetermined."""
+    gold = F.when(F.col("turn") % 3 == 0, "none").otherwise(F.col("a"))
+    answer = F.when((F.col("turn") + F.col("conv_id")) % 4 == 0, "none").otherwise(F.col("b"))
+    rows = _pairs(spark, sf_dir).select("conv_id", gold.alias("gold_answer"), answer.alias("answer"))
+    return evaluation.quest_scores(rows, "conv_id", "none")
 
 
 def _best(spark, sf_dir) -> DataFrame:
@@ -165,15 +174,137 @@ def mask_extract(spark, sf_dir):
     return rows.select("doc_id", F.md5(guided.mask_extract(F.col("text"), mask).cast("binary")).alias("digest"))
 
 
-_FUZZY = "SELECT * FROM VALUES (1, 'brown fix', 'the quick brown fox'), (2, 'longer than it', 'short'), (3, 'lazy', 'a lazy lazy dog') AS t(id, ref, txt)"
+# DuckDB's edit distance is one of bytes: both sides leave out what isn't ASCII
+_ASCII = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
+
+
+def _located(text: str, ref: str) -> str:
+    """Struct d, k of the nearest window, by comparing all."""
+    return f"list_min(list_transform(range(1, greatest(length({text}) - length({ref}) + 1, 1) + 1), lambda k: {{'d': levenshtein(substring({text}, k::INTEGER, length({ref})), {ref}), 'k': k}}))"
+
+
+def _window(text: str, ref: str, at: str) -> str:
+    return f"(CASE WHEN length({ref}) <= length({text}) THEN substring({text}, {at}.k::INTEGER, length({ref})) END)"
 
 
-@query("SELECT * FROM (VALUES (1, 'brown fox', 1), (2, '', -1), (3, 'lazy', 0)) t(id, found, distance)")
+def _extracted(text: str, head: str, tail: str) -> str:
+    rest = f"substring({text}, instr({text}, {head}) + length({head}))"
+    return f"(CASE WHEN instr({text}, {head}) > 0 AND instr({rest}, {tail}) > 0 THEN substring({text}, instr({text}, {head}), length({head}) + instr({rest}, {tail}) - 1 + length({tail})) END)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_ASCII} AS t FROM documents), r AS (SELECT doc_id, t, translate(substring(t, 3, 10), 'ea', 'xy') AS ref FROM t), b AS (SELECT *, {_located('t', 'ref')} AS best FROM r)
+SELECT doc_id, {_window('t', 'ref', 'best')} AS found, (CASE WHEN length(ref) <= length(t) THEN best.d END)::INTEGER AS distance FROM b""")
 def fuzzy_locate(spark, sf_dir):
-    return spark.sql(_FUZZY).select("id", guided.fuzzy_locate(F.col("ref"), F.col("txt")).alias("r")).select("id", F.coalesce("r.found", F.lit("")).alias("found"), F.coalesce("r.distance", F.lit(-1)).alias("distance"))
+    """Ten changed characters of a document, looked for in all of it."""
+    rows = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("t"))
+    rows = rows.withColumn("ref", F.translate(F.substring("t", 3, 10), "ea", "xy"))
+    return rows.select("doc_id", guided.fuzzy_locate(F.col("ref"), F.col("t")).alias("r")).select("doc_id", "r.found", "r.distance")
 
 
-@query("SELECT * FROM (VALUES (1, 'quick brown fox'), (2, 'a lazy dog')) t(id, repaired)")
+@query(f"""WITH t AS (SELECT doc_id, {_ASCII} AS t FROM documents), r AS (SELECT doc_id, t, translate(substring(t, 1, 8), 'e', 'x') AS h, translate(right(t, 8), 'e', 'x') AS e FROM t),
+b AS (SELECT *, {_located('t', 'h')} AS a, {_located('t', 'e')} AS z FROM r), w AS (SELECT *, {_window('t', 'h', 'a')} AS hw, {_window('t', 'e', 'z')} AS ew FROM b)
+SELECT doc_id, md5(coalesce({_extracted('t', 'h', 'e')}, {_extracted('t', 'hw', 'ew')})) AS digest FROM w""")
 def mask_repair(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'the quick brown fox', 'quack[MASK]fix'), (2, 'a lazy dog', 'a lazy dog') AS t(id, txt, mask)")
-    return rows.select("id", guided.mask_repair(F.col("txt"), F.col("mask")).alias("repaired"))
+    """Changed ends of a document as a mask."""
+    rows = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("t"))
+    end = lambda x: F.translate(x, "e", "x")
+    mask = F.concat(end(F.substring("t", 1, 8)), F.lit(guided.MASK), end(F.right("t", F.lit(8))))
+    return rows.select("doc_id", F.md5(guided.mask_repair(F.col("t"), mask).cast("binary")).alias("digest"))
+
+
+class _Halves:
+    """Stand-in for an expert: a mask for each half of a text as JSON; no JSON where the text's
+    length can be divided by three, but for the second attempt where it can by six."""
+
+    def generate(self, prompts):
+        import json
+
+        out = []
+        for p in prompts:
+            text, _, attempt = p.partition("\nattempt ")
+            half = len(text) // 2
+            ok = len(text) % 3 or (attempt == "1" and len(text) % 6 == 0)
+            parts = [text[:half], text[half:]]
+            out.append(json.dumps([x[:12] + "[MASK]" + x[-12:] for x in parts if len(x) > 24]) if ok else "[broken")
+        return out
+
+
+_PACKS = _merged("length({0})", f"WITH {RAW_SENTENCES} SELECT doc_id, list(sentence ORDER BY sent_id) AS ps FROM raw GROUP BY doc_id", "", 512)
+
+
+@query(_PACKS.replace("SELECT doc_id, merged_id, md5(t) AS digest FROM u", "") .rstrip() + f""", hv AS (SELECT doc_id, merged_id, t, length(t) // 2 AS h, length(t) % 3 <> 0 OR length(t) % 6 = 0 AS ok FROM u),
+pt AS (SELECT doc_id, merged_id, t, unnest([{{'i': 0, 's': substring(t, 1, h)}}, {{'i': 1, 's': substring(t, h + 1)}}]) AS x FROM hv WHERE ok),
+mk AS (SELECT doc_id, merged_id, t, x.i AS i, substring(x.s, 1, 12) AS a, right(x.s, 12) AS e FROM pt WHERE length(x.s) > 24),
+ex AS (SELECT doc_id, merged_id AS pack_id, 'expert' AS route, row_number() OVER (PARTITION BY doc_id, merged_id ORDER BY i) - 1 AS chunk_id, {_extracted('t', 'a', 'e')} AS chunk FROM mk),
+ls AS (SELECT doc_id, merged_id AS pack_id, 'list' AS route, 0 AS chunk_id, regexp_replace({reply_sql('t')}, '^\\s+|\\s+$', '', 'g') AS chunk FROM hv WHERE NOT ok)
+SELECT doc_id, pack_id, route, chunk_id::INTEGER AS chunk_id, md5(chunk) AS digest FROM (SELECT * FROM ex UNION ALL SELECT * FROM ls)""")
+def mixture_chunks(spark, sf_dir):
+    """Packs of 512 characters through router, experts with a retry, and the fallback."""
+    packs = chunking.pack(chunking.split_sentences(docs(spark, sf_dir), truncate=False), 512, "zh", order="sent_id", piece="sentence")
+    packs = packs.select("doc_id", F.col("merged_id").alias("pack_id"), "text")
+    cut = guided.mixture_chunks(packs, {c: _Halves() for c in range(4)}, scoring.FirstWords(), attempts=1)
+    return cut.select("doc_id", "pack_id", "route", "chunk_id", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+_SAID = f"""sd AS (SELECT conv_id * 1000 + turn AS id, a AS question, b AS gold, 'Answer from the documents.' || chr(10) || coalesce(text, '') || chr(10) || a AS p FROM q LEFT JOIN benchmark ON item_id = (conv_id * 1000 + turn) % 50),
+sy AS (SELECT id, question, gold, regexp_replace({reply_sql('p', 12, 5)}, '^\\s+|\\s+$', '', 'g') AS answer FROM sd)"""
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    rows = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("a").alias("questions"), F.col("b").alias("answers"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"))
+    contexts = rows.select("id", (F.col("id") % 50).alias("item_id")).join(items, "item_id").select("id", "context")
+    return evaluation.run_task(rows, evaluation.TASKS["questanswer_1doc"], contexts, scoring.FirstWords(refuses=5))
+
+
+@query(f"WITH {_CONV}, {_SAID} SELECT id, md5(question) AS question, md5(gold) AS gold, answer, answer IS NOT NULL AND answer <> '' AS valid FROM sy")
+def task_answers(spark, sf_dir):
+    said = _said(spark, sf_dir)
+    return said.select("id", F.md5(F.col("question").cast("binary")).alias("question"), F.md5(F.col("gold").cast("binary")).alias("gold"), "answer", "valid")
+
+
+@query(f"WITH {_CONV}, {_SAID}, sr AS (SELECT {cosine_sql(hashed_sql('answer'), hashed_sql('gold'))} AS similarity, len({words_sql('answer')}) AS n FROM sy WHERE answer <> '') SELECT round(avg(similarity), 6) AS similarity, round(avg(n), 6) AS length, count(*) AS num FROM sr")
+def task_overall(spark, sf_dir):
+    """Means of scoring rows over valid answers; the whole rows are in ``scoring_rows``."""
+    scored = _said(spark, sf_dir).select("valid", *evaluation.scoring_row(F.col("answer"), F.col("gold")))
+    return evaluation.overall(scored, measures=("similarity", "length"))
+
+
+@query()
+def scoring_rows(spark, sf_dir):
+    said = _said(spark, sf_dir)
+    return said.select("id", "valid", *[F.round(c, 6).alias(n) for c, n in zip(evaluation.scoring_row(F.col("answer"), F.col("gold")), evaluation.MEASURES, strict=True)])
+
+
+_DATASET = _f1(words_sql(_NORM.format("a")), words_sql(_NORM.format("b"))).replace("round(CASE", "CASE").replace("END, 6) AS f1 FROM c", "END AS f1 FROM c")
+
+
+def _dataset_rows(spark, sf_dir) -> DataFrame:
+    """The first turn of a conversation against each other as gold."""
+    return _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("\n"), "a").alias("prediction"), F.col("b").alias("gold"))
+
+
+@query(f"SELECT round(100 * avg(f1), 2) AS score FROM ({_DATASET})")
+def dataset_score(spark, sf_dir):
+    return evaluation.dataset_score(_dataset_rows(spark, sf_dir), "hotpotqa")
+
+
+@query("SELECT round(100 * avg(f1), 2) AS score FROM (" + _DATASET.replace("lower(a)", "lower(string_split(regexp_replace(a, '^\n+', ''), chr(10))[1])") + ")")
+def dataset_score_first_line(spark, sf_dir):
+    return evaluation.dataset_score(_dataset_rows(spark, sf_dir), "triviaqa")
+
+
+@query(f"WITH {_CONV}, k AS (SELECT conv_id, turn, len(list_filter({words_sql('lower(b)')}, lambda w: list_contains({words_sql('lower(a)')}, w))) AS k, len({words_sql('b')}) AS n FROM q) SELECT conv_id, turn, round(k * ln(2::DOUBLE) + (n - k) * ln(20::DOUBLE), 6) AS total, round((k * ln(2::DOUBLE) + (n - k) * ln(20::DOUBLE)) / nullif(n, 0), 6) AS mean FROM k")
+def conditional_loss(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(scoring.conditional_loss(a, b), 6).alias("total"), F.round(scoring.mean_conditional_loss(a, b), 6).alias("mean"))
+
+
+@query(f"WITH {_CONV} SELECT conv_id, turn, round({cosine_sql(hashed_sql('a'), hashed_sql('b'))}, 6) AS similarity FROM q")
+def text_similarity(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(scoring.text_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS place FROM embeddings")
+def most_likely(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", scoring.most_likely(F.col("embedding")).alias("place"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.operators import chunking, quality, scoring
-from lamina.streaming import chunks as streaming  # noqa: F401
 
 from .common import LOSSES, SENTENCES, docs, gathered, n_words, registry, words_sql
 from .texts import _merged
@@ -90,7 +89,7 @@ def margin_chunk_pairs(spark, sf_dir):
 
 @query(f"""WITH {SENTENCES}, z AS (SELECT doc_id, sent_id, sum(round(1.2::DOUBLE * {n_words("'ID ' || sent_id || ': ' || sentence")})::BIGINT) OVER (PARTITION BY doc_id ORDER BY sent_id) AS upto FROM st),
 s AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY sent_id), 0) AS b FROM z)
-SELECT a.doc_id, a.sent_id, coalesce(max(c.sent_id), a.sent_id)::INTEGER AS last_sent FROM s a LEFT JOIN s c ON a.doc_id = c.doc_id AND c.sent_id BETWEEN a.sent_id AND a.sent_id + 200 AND c.upto - a.b < 550 GROUP BY a.doc_id, a.sent_id""")
+SELECT a.doc_id, a.sent_id, coalesce(max(c.sent_id), a.sent_id)::INTEGER AS last_sent FROM s a LEFT JOIN s c ON a.doc_id = c.doc_id AND c.sent_id >= a.sent_id AND c.upto - a.b < 550 GROUP BY a.doc_id, a.sent_id""")
 def lumber_windows(spark, sf_dir):
     return chunking.lumber_windows(_sentences(spark, sf_dir))
 
@@ -105,9 +104,17 @@ def semantic_chunk(spark, sf_dir):
     return _digest(chunking.semantic_chunks(_sentences(spark, sf_dir)))
 
 
-@query()
+class _Dashes:
+    """Stand-in for a generator that parts a text: a line of dashes in place of each ``. ``."""
+
+    def generate(self, prompts):
+        return [p.replace(". ", ".\n---\n") for p in prompts]
+
+
+@query(r"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(text, '. ', '.' || chr(1)), chr(10) || '---' || chr(10), chr(1)), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS bs FROM documents)
+SELECT doc_id, unnest(range(len(bs)))::INTEGER AS block_id, md5(unnest(bs)) AS digest FROM b""")
 def llm_block_split(spark, sf_dir):
-    reply = scoring.generate(scoring.FirstSentence(), F.col("text"))
+    reply = scoring.generate(_Dashes(), F.col("text"))
     return chunking.block_split(docs(spark, sf_dir), reply).select("doc_id", "block_id", F.md5(F.col("block").cast("binary")).alias("digest"))
 
 
@@ -168,21 +175,29 @@ def chunk_stickiness_graph(spark, sf_dir):
 
 
 def _entropy(edges: str) -> str:
-    return f""", ed AS (SELECT * FROM sw WHERE w > 0.2 AND i <> j {edges}), en AS (SELECT doc_id, unnest([i, j]) AS node FROM ed),
-dg AS (SELECT doc_id, node, count(*) AS d FROM en GROUP BY ALL), pp AS (SELECT doc_id, d / sum(d) OVER (PARTITION BY doc_id) AS p FROM dg)
-SELECT doc_id, round(sum(-p * log2(p)), 6) + 0.0 AS entropy FROM pp GROUP BY doc_id"""
+    return f""", ed AS (SELECT * FROM sw WHERE w > 0.8 AND i <> j {edges}), en AS (SELECT doc_id, unnest([i, j]) AS node FROM ed),
+dg AS (SELECT doc_id, node, count(*) AS d FROM en GROUP BY ALL), pp AS (SELECT doc_id, d / sum(d) OVER (PARTITION BY doc_id) AS p FROM dg),
+ex AS (SELECT doc_id, round(sum(-p * log2(p)), 6) AS e FROM pp GROUP BY doc_id), hx AS (SELECT d.doc_id, coalesce(e, 0.0) + 0.0 AS entropy FROM documents d LEFT JOIN ex USING (doc_id))"""
 
 
-@query(_STICKY + _entropy(""))
+def _structure(spark, sf_dir, both_ways: bool = True) -> DataFrame:
+    weights = quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir), both_ways))
+    return quality.structural_entropy(quality.strong_edges(weights), docs(spark, sf_dir))
+
+
+@query(_STICKY + _entropy("") + " SELECT doc_id, entropy FROM hx")
 def structural_entropy(spark, sf_dir):
-    weights = quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir)))
-    return quality.structural_entropy(quality.strong_edges(weights, 0.2))
+    return _structure(spark, sf_dir)
 
 
-@query(_STICKY + _entropy("AND j >= i"))
+@query(_STICKY + _entropy("AND j >= i") + " SELECT doc_id, entropy FROM hx")
 def structural_entropy_incomplete(spark, sf_dir):
-    weights = quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir), both_ways=False))
-    return quality.structural_entropy(quality.strong_edges(weights, 0.2))
+    return _structure(spark, sf_dir, False)
+
+
+@query(_STICKY + _entropy("") + " SELECT round(avg(entropy), 6) AS entropy, count(*) AS n FROM hx")
+def entropy_mean(spark, sf_dir):
+    return quality.corpus_mean(_structure(spark, sf_dir), "entropy")
 
 
 @query(_STICKY + " SELECT doc_id, round(avg(w), 3) AS mean_weight FROM sw GROUP BY doc_id")
@@ -191,11 +206,67 @@ def graph_mean_weight(spark, sf_dir):
     return weights.groupBy("doc_id").agg(F.round(F.avg("w"), 3).alias("mean_weight"))
 
 
+def _weights(spark, sf_dir) -> DataFrame:
+    return quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir)))
+
+
 @query()
 def path_edges(spark, sf_dir):
-    return quality.path_edges(quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir))))
+    return quality.path_edges(_weights(spark, sf_dir))
+
+
+@query()
+def path_edges_tokens(spark, sf_dir):
+    return quality.path_edges(quality.chunk_graph(_merged_chunks(spark, sf_dir)), "tokens")
+
+
+@query()
+def path_edges_onward(spark, sf_dir):
+    return quality.path_edges(quality.chunk_graph(_merged_chunks(spark, sf_dir)), "onward")
 
 
 @query()
 def path_entropy(spark, sf_dir):
-    return quality.structural_entropy(quality.path_edges(quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir)))))
+    return quality.structural_entropy(quality.path_edges(_weights(spark, sf_dir)), docs(spark, sf_dir))
+
+
+_BATCHED = LOSSES.partition("pr AS (")[0] + f"""bt AS (SELECT doc_id, sent_id, ws, coalesce(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 256 AS batch FROM tl),
+pw AS (SELECT doc_id, sent_id, unnest(range(len(ws))) AS k, unnest(ws) AS w, batch FROM bt),
+pr AS (SELECT doc_id, sent_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY sent_id, k) AS v, lag(w) OVER (PARTITION BY doc_id, batch ORDER BY sent_id, k) AS u FROM pw),
+ug AS (SELECT w, count(*) AS n FROM pr GROUP BY w), bg AS (SELECT v, w, count(*) AS vw FROM pr WHERE v IS NOT NULL GROUP BY v, w),
+ls AS (SELECT pr.doc_id, pr.sent_id, -ln(0.7::DOUBLE * bg.vw / a.n + 0.3::DOUBLE * (b.n + 1) / ((SELECT sum(n) + count(*) FROM ug) + 1)) AS loss
+  FROM pr LEFT JOIN bg ON pr.u = bg.v AND pr.w = bg.w LEFT JOIN ug a ON pr.u = a.w LEFT JOIN ug b ON pr.w = b.w)
+SELECT doc_id, sent_id, round(avg(loss), 6) AS loss FROM ls GROUP BY doc_id, sent_id"""
+
+
+@query(f"WITH {_BATCHED}")
+def sentence_loss_batched(spark, sf_dir):
+    return scoring.batched_sentence_loss(_sentences(spark, sf_dir), 256)
+
+
+@query()
+def ppl_chunk_routed(spark, sf_dir):
+    return _digest(chunking.routed_ppl_chunks(docs(spark, sf_dir), whole=1000, batch_tokens=256))
+
+
+@query()
+def ppl_chunk_routed_dynamic(spark, sf_dir):
+    return _digest(chunking.routed_ppl_chunks(docs(spark, sf_dir), whole=1000, batch_tokens=256, dynamic=True))
+
+
+class _NamesMiddle:
+    """Stand-in for a generator that is shown numbered lines: it names the one in the middle."""
+
+    def generate(self, prompts):
+        lines = [p.split("\n") for p in prompts]
+        return [f"Answer: {x[len(x) // 2].partition(':')[0]}" if len(x) % 5 else "none" for x in lines]
+
+
+@query()
+def lumber_chunk(spark, sf_dir):
+    return chunking.lumber_chunks(_sentences(spark, sf_dir), generator=_NamesMiddle())
+
+
+@query(_merged(f"len({words_sql('{0}')})", f"WITH {SENTENCES}, {_PAIRS}, ch AS (SELECT doc_id, chunk_id, string_agg(sentence, ' ' ORDER BY sent_id) AS t FROM mc GROUP BY doc_id, chunk_id) SELECT doc_id, list(t ORDER BY chunk_id) AS ps FROM ch GROUP BY doc_id", " ", 147).replace("SELECT doc_id, merged_id, md5(t) AS digest FROM u", "SELECT doc_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY merged_id)) AS digest FROM u GROUP BY doc_id"))
+def meta_chunks(spark, sf_dir):
+    return _digest(chunking.meta_chunks(docs(spark, sf_dir), "margin"))

@@ -72,3 +72,24 @@ ci AS (SELECT *, coalesce(sum(is_min::INTEGER) OVER (PARTITION BY doc_id ORDER B
 def gathered(source: str, sep: str = "") -> str:
     """Chunks of ``source`` as in ``gather``, with digests in place of texts."""
     return f"""SELECT doc_id, chunk_id, min(sent_id)::INTEGER AS first_sent, max(sent_id)::INTEGER AS last_sent, md5(string_agg(sentence, '{sep}' ORDER BY sent_id)) AS digest FROM {source} GROUP BY doc_id, chunk_id"""
+
+
+def reply_sql(prompt: str, n: int = 12, refuses: int = 0) -> str:
+    """What ``FirstWords`` replies to a prompt."""
+    said = f"'<think>so</think> ' || array_to_string((string_split(string_split({prompt}, chr(10))[-1], ' '))[1:{n}], ' ')"
+    return f"(CASE WHEN length({prompt}) % {refuses} <> 0 THEN {said} END)" if refuses else f"({said})"
+
+
+def stripped_sql(text: str) -> str:
+    """A reply without its reasoning; null if nothing is left."""
+    return rf"nullif(regexp_replace(string_split({text}, '</think>')[-1], '^\s+|\s+$', '', 'g'), '')"
+
+
+def hashed_sql(text: str) -> str:
+    """Counts of a bag of hashed words."""
+    slots = f"list_transform({words_sql(f'lower({text})')}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64)"
+    return f"(SELECT list_transform(range(64), lambda i: len(list_filter(x.s, lambda j: j = i))::DOUBLE) FROM (SELECT {slots} AS s) x)"
+
+
+def cosine_sql(a: str, b: str) -> str:
+    return f"coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0), 0)"

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.functions import text as T
 from lamina.functions.metrics import cosine
-from lamina.operators import chunking, retrieval, scoring
+from lamina.operators import chunking, retrieval, rewriting, scoring
 
-from .common import SENTENCES, docs, registry, table, words_sql
+from .common import SENTENCES, cosine_sql, docs, hashed_sql, registry, reply_sql, stripped_sql, table, words_sql
 from .chunks import _PAIRS
 
 QUERIES, SQL, query = registry()
@@ -36,14 +36,19 @@ def cosine_similarity(spark, sf_dir):
     return v.join(n, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("n")), 5).alias("similarity"))
 
 
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({words_sql('lower(text)')})) AS term FROM benchmark),
-d AS (SELECT doc_id, {words_sql('lower(text)')} AS ws FROM documents),
+def _bm25_sql(source: str, k: int = 10) -> str:
+    """BM25 of a relation (doc_id, text)."""
+    return f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({words_sql('lower(text)')})) AS term FROM benchmark),
+d AS (SELECT doc_id, {words_sql('lower(text)')} AS ws FROM {source}),
 st AS (SELECT count(*) AS nd, avg(len(ws)) AS ml FROM d),
 p AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM d), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 wt AS (SELECT term, doc_id, ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / ml)) AS w FROM tf JOIN df USING (term), st),
 sc AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM wt JOIN q USING (term) GROUP BY ALL),
-bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM sc QUALIFY rank <= 10)"""
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM sc QUALIFY rank <= {k})"""
+
+
+_BM25 = _bm25_sql("documents")
 _OVERLAP = """oc AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM tf JOIN q USING (term) GROUP BY ALL),
 ov AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM oc QUALIFY rank <= 10)"""
 
@@ -77,11 +82,8 @@ def rrf_fusion(spark, sf_dir):
 @query(f"WITH {_BM25}, {_OVERLAP}, u AS (SELECT query_id, doc_id FROM bm UNION SELECT query_id, doc_id FROM ov), f AS (SELECT query_id, doc_id, oc.score FROM u JOIN oc USING (query_id, doc_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f QUALIFY rank <= 5")
 def union_rerank(spark, sf_dir):
     """The pair scorer here: how many of the query's words the document has."""
-    lists = [x.select("query_id", "doc_id") for x in (_bm25(spark, sf_dir), _overlap(spark, sf_dir))]
-    q = F.broadcast(_queries(spark, sf_dir).withColumnRenamed("text", "q"))  # a benchmark's items
-    lists = [x.join(q, "query_id").join(docs(spark, sf_dir), "doc_id") for x in lists]
-    scorer = F.size(F.array_intersect(T.words(F.lower("q")), T.words(F.lower("text")))).cast("double")
-    return retrieval.union_rerank(lists, scorer, 5).select("query_id", "doc_id", "score", "rank")
+    lists = [_bm25(spark, sf_dir), _overlap(spark, sf_dir)]
+    return retrieval.union_rerank(lists, _queries(spark, sf_dir), docs(spark, sf_dir), retrieval.word_overlap, 5)
 
 
 def _hits(spark, sf_dir) -> DataFrame:
@@ -100,9 +102,18 @@ def rerank_score(spark, sf_dir):
     return retrieval.rerank(_hits(spark, sf_dir))
 
 
-@query(f"{_HITS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, pos)::INTEGER AS rank FROM h")
+_KNOWN = f"len(list_filter({words_sql('lower(i.text)')}, lambda w: list_contains({words_sql('lower(d.text)')}, w)))"
+
+
+@query(f"""WITH {_BM25}, h AS (SELECT b.query_id, b.doc_id, b.rank AS pos, {_KNOWN} AS k, len({words_sql('i.text')}) AS n FROM bm b JOIN documents d USING (doc_id) JOIN benchmark i ON i.item_id = b.query_id),
+s AS (SELECT query_id, doc_id, pos, round((k * ln(2::DOUBLE) + (n - k) * ln(20::DOUBLE)) / n, 6) AS score FROM h)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, pos)::INTEGER AS rank FROM s""")
 def rerank_loss(spark, sf_dir):
-    return retrieval.rerank(_hits(spark, sf_dir), descending=False)
+    """By the mean loss of the query after the hit."""
+    hits = retrieval.with_texts(_bm25(spark, sf_dir).select("query_id", "doc_id", F.col("rank").alias("pos")), docs(spark, sf_dir))
+    hits = hits.join(_queries(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
+    scored = hits.select("query_id", "doc_id", "pos", F.round(scoring.mean_conditional_loss(F.col("text"), F.col("query")), 6).alias("score"))
+    return retrieval.rerank(scored, descending=False)
 
 
 @query(f"{_HITS}, r AS (SELECT *, count(*) OVER (PARTITION BY query_id ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS score_rank FROM h), x AS (SELECT *, round(1.0::DOUBLE / (60 + pos) + 1.0::DOUBLE / (60 + score_rank), 9) AS rrf FROM r) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, pos)::INTEGER AS rank FROM x")
@@ -113,7 +124,7 @@ def rerank_rrf(spark, sf_dir):
 @query()
 def near_dup_greedy(spark, sf_dir):
     """Over the whole texts of each query's hits: lists are short by definition."""
-    hits = _bm25(spark, sf_dir).join(docs(spark, sf_dir), "doc_id")
+    hits = retrieval.with_texts(_bm25(spark, sf_dir), docs(spark, sf_dir))
     lists = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("hits"))
     return lists.select("query_id", F.size("hits").alias("n"), F.size(retrieval.distinct_hits(F.col("hits"))).alias("kept"))
 
@@ -135,13 +146,35 @@ def strip_reasoning(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.strip_reasoning(said).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(text) > 400 THEN 'short: ' || substring(text, 1, 99) ELSE text END) AS digest FROM documents WHERE length(text) >= 20")
+@query(f"SELECT doc_id, md5(coalesce({stripped_sql(reply_sql('text', 12, 3))}, text)) AS digest FROM documents WHERE length(text) >= 20")
 def apply_rewrite(spark, sf_dir):
     rows = docs(spark, sf_dir).filter(F.char_length("text") >= 20)
-    rewritten = F.when(F.char_length("text") > 400, F.concat(F.lit("short: "), F.substring("text", 1, 99)))
+    rewritten = T.strip_reasoning(scoring.generate(scoring.FirstWords(refuses=3), F.col("text")))
     return rows.select("doc_id", F.md5(T.apply_rewrite(rewritten, F.col("text")).cast("binary")).alias("digest"))
 
 
+# prompts without a line end before the text, as the stand-in reads the last line
+_REWRITE = {"reflection": "Lacking:\n{text}", "refinement": "Known: {reflection}\n{document}", "completion": "Anew: {refinement}\n{text}"}
+_SUMMARY = {"abstract": "Abstract:\n{document}", "condense": "Short:\n{abstract}"}
+
+
+@query(f"""WITH a AS (SELECT doc_id, source, text, {stripped_sql(reply_sql("('Lacking:' || chr(10) || text)", 12, 11))} AS reflection FROM documents),
+b AS (SELECT *, CASE WHEN reflection IS NOT NULL THEN {stripped_sql(reply_sql("('Known: ' || reflection || chr(10) || source || ' ' || text)", 12, 11))} END AS refinement FROM a),
+c AS (SELECT *, CASE WHEN refinement IS NOT NULL THEN {stripped_sql(reply_sql("('Anew: ' || refinement || chr(10) || text)", 12, 11))} END AS completion FROM b)
+SELECT doc_id, reflection, refinement, completion, CASE WHEN reflection IS NULL THEN 'reflection' WHEN refinement IS NULL THEN 'refinement' WHEN completion IS NULL THEN 'completion' ELSE 'ok' END AS status FROM c""")
+def rewrite_stages(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", F.lit(" "), "text").alias("document"))
+    return rewriting.rewrite(rows, scoring.FirstWords(refuses=11), _REWRITE).drop("text", "document")
+
+
+@query(f"""WITH a AS (SELECT doc_id, {stripped_sql(reply_sql("('Abstract:' || chr(10) || text)", 12, 11))} AS abstract FROM documents),
+b AS (SELECT *, CASE WHEN abstract IS NOT NULL THEN {stripped_sql(reply_sql("('Short:' || chr(10) || abstract)", 5, 0))} END AS condense FROM a)
+SELECT doc_id, abstract, condense, CASE WHEN abstract IS NULL THEN 'abstract' WHEN condense IS NULL THEN 'condense' ELSE 'ok' END AS status FROM b""")
+def summary_stages(spark, sf_dir):
+    rows = docs(spark, sf_dir).withColumnRenamed("text", "document")
+    return rewriting.summarise(rows, {"abstract": scoring.FirstWords(refuses=11), "condense": scoring.FirstWords(5)}, _SUMMARY).drop("document")
+
+
 @query("SELECT doc_id, md5(CASE WHEN lang = 'en' THEN source || chr(10) || text ELSE text END) AS digest FROM documents")
 def apply_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
@@ -159,25 +192,88 @@ def retrieval_similarity(spark, sf_dir):
     return per_query.agg(F.round(F.avg("s"), 6).alias("similarity"), F.count("*").alias("n"))
 
 
-_FOUND = r"""WITH h AS (SELECT query_id, rank, replace(replace(d.text, ' ', ''), chr(10), '') AS hit FROM bm JOIN documents d USING (doc_id)),
-g AS (SELECT item_id AS query_id, replace(replace(text, ' ', ''), chr(10), '') AS gold FROM benchmark),
-f AS (SELECT g.query_id, min(rank) AS best FROM g JOIN h ON g.query_id = h.query_id AND contains(hit, gold) GROUP BY g.query_id)"""
+_GOLDS = """g0 AS (SELECT item_id AS query_id, unnest([{'id': 0, 't': substring(text, 1, 40)}, {'id': 1, 't': substring(text, length(text) // 2, 30)}, {'id': 2, 't': right(text, 30)}, {'id': 3, 't': substring(text, 1, 3)}, {'id': 4, 't': 'zqx'}]) AS g FROM benchmark),
+g AS (SELECT query_id, g.id AS gold_id, replace(replace(g.t, ' ', ''), chr(10), '') AS gold FROM g0)"""
+_FOUND = f"""WITH {_bm25_sql("documents", 11)}, h AS (SELECT query_id, rank, replace(replace(d.text, ' ', ''), chr(10), '') AS hit FROM bm JOIN documents d USING (doc_id)), {_GOLDS},
+f AS (SELECT g.query_id, gold_id, min(rank) AS rank FROM g JOIN h ON g.query_id = h.query_id AND contains(hit, gold) GROUP BY ALL),
+b AS (SELECT n.query_id, n.n, min(f.rank) AS best, sum(1.0::DOUBLE / f.rank) AS found FROM (SELECT query_id, count(*) AS n FROM g GROUP BY query_id) n LEFT JOIN f USING (query_id) GROUP BY ALL)"""
 
 
 def _quality(spark, sf_dir) -> DataFrame:
-    hits = _bm25(spark, sf_dir).join(docs(spark, sf_dir), "doc_id").select("query_id", "rank", "text")
-    gold = _queries(spark, sf_dir).withColumn("gold_id", F.lit(0))
+    """Eleven hits a query against five golds: parts of the item, a short one that many texts have, and one that none has."""
+    hits = retrieval.with_texts(retrieval.bm25_topk(docs(spark, sf_dir), _queries(spark, sf_dir), 11), docs(spark, sf_dir)).select("query_id", "rank", "text")
+    n = F.char_length("text")
+    parts = [F.substring("text", 1, 40), F.substring(F.col("text"), (n / 2).cast("int"), F.lit(30)), F.right("text", F.lit(30)), F.substring("text", 1, 3), F.lit("zqx")]
+    gold = _queries(spark, sf_dir).select("query_id", F.posexplode(F.array(*parts)).alias("gold_id", "text"))
     return retrieval.search_quality(hits, gold)
 
 
-_BEST = f"WITH {_BM25}, {_FOUND[5:]}, b AS (SELECT g.query_id, f.best FROM g LEFT JOIN f USING (query_id))"
-
-
-@query(_BEST + " SELECT query_id, " + ", ".join(f"coalesce((best <= {n})::INTEGER, 0) AS hits_{n}" for n in (2, 4, 6, 8, 10)) + " FROM b")
+@query(_FOUND + " SELECT query_id, " + ", ".join(f"coalesce((best <= {n})::INTEGER, 0) AS hits_{n}" for n in (2, 4, 6, 8, 10)) + " FROM b")
 def retrieval_hits(spark, sf_dir):
     return _quality(spark, sf_dir).drop("map", "mrr")
 
 
-@query(_BEST + " SELECT query_id, round(coalesce(1.0::DOUBLE / best, 0.0), 6) AS map, round(coalesce(1.0::DOUBLE / best, 0.0), 6) AS mrr FROM b")
+@query(_FOUND + " SELECT query_id, round(coalesce(found, 0.0) / least(n, 10), 6) AS map, round(CASE WHEN best <= 10 THEN 1.0::DOUBLE / best ELSE 0.0 END, 6) AS mrr FROM b")
 def retrieval_map_mrr(spark, sf_dir):
     return _quality(spark, sf_dir).select("query_id", "map", "mrr")
+
+
+_PIECES = "(SELECT doc_id * 100000 + i // 168 AS doc_id, substring(text, i::INTEGER + 1, 218) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 0), 168)) AS i FROM documents))"
+
+
+@query(f"WITH {_bm25_sql(_PIECES, 8)} SELECT query_id, doc_id, score, rank FROM bm")
+def bm25_chunks(spark, sf_dir):
+    """Over pieces of 218 characters, 50 of them shared; a piece's id is made of the document's and its number."""
+    pieces = docs(spark, sf_dir).select("doc_id", F.posexplode(T.fixed_chars(F.col("text"), 218, 50)).alias("i", "piece"))
+    pieces = pieces.select((F.col("doc_id") * 100000 + F.col("i")).alias("doc_id"), F.col("piece").alias("text"))
+    return retrieval.bm25_topk(pieces, _queries(spark, sf_dir), 8)
+
+
+@query(f"WITH {_VEC.replace('rank <= 10', 'rank <= 18')}, r AS (SELECT query_id, vec_id, rank AS pos, relevant::INTEGER AS score FROM t) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos)::INTEGER AS rank FROM r QUALIFY rank <= 5")
+def over_fetch(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    labels = v.select("vec_id", "label")
+    search = lambda k: retrieval.vector_topk(v, v.filter("vec_id % 20 = 0"), k).select("query_id", "vec_id", F.col("rank").alias("pos"))
+
+    def agreement(hits):
+        both = hits.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
+        return both.select("query_id", "vec_id", "pos", (F.col("label") == F.col("ql")).cast("int").alias("score"))
+
+    return retrieval.over_fetch(search, agreement, 5)
+
+
+_BASE = f"""dv AS (SELECT doc_id, {hashed_sql('text')} AS e FROM documents), qv AS (SELECT item_id AS query_id, {hashed_sql('text')} AS e FROM benchmark),
+vs AS (SELECT query_id, doc_id, round({cosine_sql('q.e', 'd.e')}, 6) AS score FROM qv q, dv d WHERE list_sum(q.e) > 0 AND list_sum(d.e) > 0),
+vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM vs QUALIFY rank <= 10)"""
+
+
+def _retrieve(spark, sf_dir, method: str) -> DataFrame:
+    return retrieval.retrieve(docs(spark, sf_dir), _queries(spark, sf_dir), method, 10)
+
+
+@query(f"WITH {_BASE} SELECT query_id, doc_id, score, rank FROM vk")
+def retrieve_base(spark, sf_dir):
+    return _retrieve(spark, sf_dir, "base")
+
+
+@query(f"WITH {_BM25}, {_BASE}, u AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM vk), f AS (SELECT query_id, doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f QUALIFY rank <= 10")
+def retrieve_hybrid(spark, sf_dir):
+    return _retrieve(spark, sf_dir, "hybrid")
+
+
+@query(f"""WITH {_BM25}, {_BASE}, u AS (SELECT query_id, doc_id FROM bm UNION SELECT query_id, doc_id FROM vk), oc AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM tf JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS score FROM u LEFT JOIN oc USING (query_id, doc_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
+def retrieve_hybrid_rerank(spark, sf_dir):
+    return _retrieve(spark, sf_dir, "hybrid-rerank")
+
+
+_CONTEXT = f"""WITH {_bm25_sql("documents", 3)}, cx AS (SELECT query_id, string_agg(d.text, chr(10) || chr(10) ORDER BY rank) AS context FROM bm JOIN documents d USING (doc_id) GROUP BY query_id),
+qa AS (SELECT item_id AS query_id, text, context FROM benchmark LEFT JOIN cx ON item_id = query_id), pr AS (SELECT query_id, context, context || chr(10) || chr(10) || text AS p FROM qa)"""
+
+
+@query(_CONTEXT + f", an AS (SELECT query_id, context, CASE WHEN context IS NOT NULL THEN {reply_sql('p', 12, 4)} END AS answer FROM pr) SELECT query_id, md5(context) AS context, answer, CASE WHEN context IS NULL THEN 'no context' WHEN answer IS NULL THEN 'refused' ELSE 'ok' END AS status FROM an")
+def retrieval_answers(spark, sf_dir):
+    """Hits joined to a context, put before the question, and asked; every query has a status."""
+    hits = retrieval.with_texts(retrieval.bm25_topk(docs(spark, sf_dir), _queries(spark, sf_dir), 3), docs(spark, sf_dir))
+    found = retrieval.answers(_queries(spark, sf_dir), retrieval.joined_context(hits), scoring.FirstWords(refuses=4))
+    return found.withColumn("context", F.md5(F.col("context").cast("binary")))

@@ -43,17 +43,20 @@ def dataset_type_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(*count)
 
 
-@query("""WITH m AS (SELECT d.lang, d.source || ': quality' AS metric, round(avg(l.quality), 6) AS value FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL)
-SELECT lang, max(value) FILTER (WHERE metric = 'src0: quality') AS src0, max(value) FILTER (WHERE metric = 'src1: quality') AS src1, max(value) FILTER (WHERE metric = 'src2: quality') AS src2 FROM m GROUP BY lang""")
+@query("WITH m AS (SELECT d.lang, d.source, round(avg(l.quality), 6) AS value FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL) SELECT * FROM (PIVOT m ON source USING first(value) GROUP BY lang)")
 def metric_pivot(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     rows = rows.groupBy("lang", "source").agg(F.round(F.avg("quality"), 6).alias("value"))
-    return rows.groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.first("value"))
+    return rows.groupBy("lang").pivot("source").agg(F.first("value"))
 
 
-@query("SELECT * FROM (VALUES (0, '今天。'), (1, '明天！'), (2, '好')) t(sent_id, sentence)")
+@query(r"""WITH z AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, '. ', '。 '), '([。！？；])', '\1' || chr(1), 'g'), chr(1)),
+  lambda s: regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '\s+([。！？；])$', '\1')), lambda s: s <> '') AS ss FROM documents)
+SELECT doc_id, unnest(range(len(ss)))::INTEGER AS sent_id, md5(unnest(ss)) AS digest FROM z""")
 def sentence_split_zh(spark, sf_dir):
-    return spark.sql("SELECT '今天。 明天！好' AS text").select(F.posexplode(T.sentences_zh(F.col("text"))).alias("sent_id", "sentence"))
+    """Full stops of the documents stand for Chinese ones."""
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences_zh(F.replace(F.col("text"), F.lit(". "), F.lit("。 ")))).alias("sent_id", "sentence"))
+    return digested(rows, "sentence")
 
 
 @query(f"WITH {RAW_SENTENCES} SELECT doc_id, sent_id, md5(sentence) AS digest FROM raw")
@@ -159,7 +162,21 @@ def split_in_two(spark, sf_dir):
     return two.select("doc_id", F.md5(F.col("head").cast("binary")).alias("head"), F.md5(F.col("tail").cast("binary")).alias("tail"))
 
 
-@query("SELECT * FROM (VALUES (1, 2.0::DOUBLE), (2, 4.0)) t(id, ppl)")
+@query("SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: ln(1 + x::DOUBLE * x::DOUBLE))) / len(embedding)), 6) AS ppl FROM embeddings")
 def perplexity(spark, sf_dir):
-    rows = spark.sql("SELECT 1 AS id, array(0.5D, 0.5D) AS p UNION ALL SELECT 2, array(0.5D, 0.125D)")
-    return rows.select("id", F.round(scoring.perplexity(F.col("p")), 6).alias("ppl"))
+    """Probabilities made of the parts of a vector."""
+    p = F.transform("embedding", lambda x: 1 / (1 + x.cast("double") * x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scoring.perplexity(p), 6).alias("ppl"))
+
+
+@query(_merged("length({0})", _PIECES, " ", 193))
+def merge_chars_blank(spark, sf_dir):
+    merged = chunking.pack(_pieces(spark, sf_dir), 193, "zh", order="sent_id", piece="sentence", sep=" ")
+    return digested(merged, "text").select("doc_id", "merged_id", "digest")
+
+
+@query()
+def merge_corpus(spark, sf_dir):
+    """Groups that run on over document borders."""
+    merged = chunking.pack_corpus(_pieces(spark, sf_dir), 147, order="sent_id", piece="sentence")
+    return merged.select("merged_id", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_sent"), F.col("last.doc_id").alias("last_doc"), F.col("last.at").alias("last_sent"), "n")

@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import Row, functions as F
 
 from lamina.functions import metrics as M, text as T
-from lamina.operators import chunking, guided, quality, retrieval, scoring
+from lamina.functions.edits import Myers, nearest
+from lamina.operators import chunking, evaluation, guided, quality, retrieval, rewriting, scoring
 from lamina.sources import readers, writers
 
 
@@ -95,6 +97,9 @@ def test_answers(spark):
 
 def test_masks(spark):
     assert one(spark, guided.mask_extract(F.col("t"), F.lit("b.[MASK]d")), t="a b. c d e d") == "b. c d"
+    repaired = lambda text, mask: one(spark, guided.mask_repair(F.col("t"), F.lit(mask)), t=text)
+    assert repaired("the quick brown fox", "quack[MASK]fix") == "quick brown fox" and repaired("a lazy dog", "none") == "none"
+    assert one(spark, guided.fuzzy_locate(F.lit("longer than it"), F.col("t")), t="short")["found"] is None
     assert one(spark, guided.is_json_list(F.col("t")), t='["a", "b"]') and not one(spark, guided.is_json_list(F.col("t")), t="[a")
 
 
@@ -210,3 +215,204 @@ def test_longbench_score_reads_every_answer(spark, tmp_path):
     rows += [(2, 0, "alone"), (3, 0, "twice said"), (3, 0, "twice said"), (4, 1, "one two"), (4, 2, "two three")]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {tuple(r) for r in answers.longbench_score(spark, str(tmp_path)).collect()} == {(1, 100.0), (3, 100.0), (4, 50.0)}
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_nearest_window_is_that_of_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        ref, text = ("".join(rng.choices("abc", k=rng.randrange(0, n))) for n in (9, 40))
+        windows = [text[i : i + len(ref)] for i in range(len(text) - len(ref) + 1)]
+        want = min(((plain_distance(ref, w), i) for i, w in enumerate(windows)), default=None)
+        assert nearest(ref, text) == (None if want is None else (windows[want[1]], want[0]))
+        if ref:
+            assert Myers(ref).distance(text) == plain_distance(ref, text)
+
+
+def test_moving_threshold_passes_from_document_to_document(spark):
+    rng = random.Random(7)
+    losses = {d: [round(rng.random(), 3) for _ in range(rng.randrange(1, 40))] for d in range(60)}
+    frame = spark.createDataFrame([(d, i, x) for d, xs in losses.items() for i, x in enumerate(xs)], "doc_id long, sent_id int, loss double").repartition(7)
+    want, own = chunking.DynamicMinima(0.1), []
+    for d, xs in losses.items():
+        own += [(d, i) for i in want.boundaries(xs)]
+    assert want.count > 150
+    for batch in ("10000", "7"):  # documents cut by Arrow batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = chunking.find_minima_dynamic(frame, 0.1, per_document=False).filter("is_min").select("doc_id", "sent_id").collect()
+        assert sorted(map(tuple, got)) == own
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alone = [(d, i) for d, xs in losses.items() for i in chunking.DynamicMinima(0.1).boundaries(xs)]
+    assert sorted(map(tuple, chunking.find_minima_dynamic(frame, 0.1).filter("is_min").select("doc_id", "sent_id").collect())) == alone
+
+
+def test_merge_over_document_borders(spark):
+    rng = random.Random(8)
+    rows = [(d, i, " ".join(["w"] * rng.randrange(0, 9))) for d in range(20) for i in range(rng.randrange(1, 6))]
+    group, size, want = 0, 0, {}
+    for d, i, t in rows:
+        n = len(t.split())
+        group, size = (group, size + n) if size + n <= 12 else (group + 1, n)
+        want.setdefault(group, []).append((d, i))
+    got = chunking.pack_corpus(spark.createDataFrame(rows, "doc_id long, piece_id int, piece string").repartition(5), 12).collect()
+    assert {r["merged_id"]: (tuple(r["first"]), tuple(r["last"]), r["n"]) for r in got} == {g: (x[0], x[-1], len(x)) for g, x in want.items()}
+
+
+def Names(reply):  # noqa: N802
+    """A generator of a class that travels by value, as workers don't know this module."""
+
+    class Own:
+        def generate(self, prompts):
+            return [reply(p) for p in prompts]
+
+    return Own()
+
+
+def test_windows_by_generator(spark):
+    """Numbers outside the window move on by one, no number by the window, and the fold always ends."""
+    rows = [(1, i, f"sentence number {i}") for i in range(30)]
+    sentences = spark.createDataFrame(rows, "doc_id long, sent_id int, sentence string")
+
+    def ids(reply):
+        got = chunking.lumber_chunks(sentences, generator=Names(reply), limit=40, tail=5).orderBy("sent_id").collect()
+        return [r["chunk_id"] for r in got]
+
+    first = lambda p: int(p.split(":")[0].split()[1])
+    assert ids(lambda p: "ID 0")[:5] == [0, 1, 2, 3, 4] and ids(lambda p: "ID 999")[:3] == [0, 1, 2]
+    assert ids(lambda p: f"at ID {first(p) + 3}")[:9] == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+    whole = ids(lambda p: "no idea")
+    assert whole.count(0) > 3 and len(whole) == 30 and whole == sorted(whole)
+    assert chunking.turn_by_score(lambda w: [0.1, 0.9, 0.9])(["a"] * 3) == 1
+
+
+def test_mean_paths_by_token():
+    rng = random.Random(3)
+    weight = {(i, j): rng.random() * 9 for i in range(6) for j in range(6)}
+    tokens = {i: rng.randrange(1, 5) for i in range(6)}
+    for start in range(6):
+        paths = quality.mean_paths(list(range(6)), weight, start, tokens)
+        assert set(paths) == set(range(6)) and all(len(set(p)) == len(p) and p[0] == start and p[-1] == v for v, p in paths.items())
+        onward = quality.mean_paths(list(range(6)), weight, start, tokens, True, True)
+        assert set(onward) == set(range(start, 6))
+    assert quality.mean_paths([0, 1, 2], {(0, 1): 1.0, (1, 2): 1.0, (0, 2): 5.0}, 0) == {0: [0], 1: [0, 1], 2: [0, 1, 2]}
+
+
+def test_stages_ask_once_and_name_the_one_that_failed(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x" * i, "y" * (i % 3)) for i in range(40)], "id long, text string, document string")
+    log = str(tmp_path / "asked")
+
+    class Counts:
+        def generate(self, prompts):
+            with open(log, "a") as f:
+                f.write("".join("." for _ in prompts))
+            return [None if len(p) % 4 == 0 else f"<think>so</think> {len(p)}" for p in prompts]
+
+    got = rewriting.staged(rows, {"one": "{text}", "two": "{one} {document}"}, Counts()).collect()
+    assert len(got) == 40
+    for r in got:
+        one_ = None if r["id"] % 4 == 0 else str(r["id"])
+        two = None if one_ is None or len(f"{one_} {r['document']}") % 4 == 0 else str(len(f"{one_} {r['document']}"))
+        assert (r["one"], r["two"], r["status"]) == (one_, two, "one" if one_ is None else "two" if two is None else "ok")
+    with open(log) as f:
+        assert len(f.read()) == 40 + 30
+    kept = writers.split_refused(rows.withColumn("said", scoring.generate(Counts(), F.col("text"))).withColumn("status", F.when(F.col("said").isNotNull(), "ok")), f"file://{tmp_path}/refused")
+    assert kept.count() == 30 and spark.read.json(f"file://{tmp_path}/refused").count() == 10
+    with open(log) as f:
+        assert len(f.read()) == 70 + 40
+
+
+def test_names_that_are_unknown(spark):
+    rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    queries = rows.withColumnRenamed("doc_id", "query_id")
+    for call in (lambda: retrieval.retrieve(rows, queries, "other"), lambda: evaluation.tasks_named("other"), lambda: evaluation.answer_scores(rows, "other"), lambda: chunking.chunk(rows, "other")):
+        with pytest.raises(ValueError):
+            call()
+    assert [t.documents for t in evaluation.tasks_named("quest_answer")] == [1, 2, 3] and len(evaluation.tasks_named("all")) == 3
+
+
+def test_every_dataset_has_a_metric_that_runs(spark):
+    rows = spark.createDataFrame([(1, "\nParagraph 3\nsecond", "Paragraph 3", ["Paragraph 3", "x"]), (1, "\nParagraph 3\nsecond", "none", ["x"]), (2, None, None, ["x"])], "id long, prediction string, gold string, classes array<string>")
+    for name in evaluation.DATASETS:
+        got = {r["id"]: r["score"] for r in evaluation.answer_scores(rows, name).collect()}
+        assert set(got) == {1, 2} and all(0 <= x <= 1 for x in got.values()), name
+    first = evaluation.answer_scores(rows, "triviaqa").filter("id = 1").first()["score"]
+    assert first == 1.0 and evaluation.answer_scores(rows, "hotpotqa").filter("id = 1").first()["score"] < 1.0
+
+
+def test_scoring_rows_are_those_of_plain_python(spark):
+    answer, gold = "the cat sat on the mat today", "the cat sat on a mat"
+    row = spark.createDataFrame([(answer, gold), (None, gold)], "a string, b string").select(*evaluation.scoring_row(F.col("a"), F.col("b"))).collect()
+    a, b = answer.split(), gold.split()
+    for n in range(1, 5):
+        grams = lambda x: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))  # noqa: E731, B023
+        assert abs(row[0][f"p{n}"] - sum((grams(a) & grams(b)).values()) / (len(a) - n + 1)) < 1e-9
+    assert abs(row[0]["rouge_l"] - 2 * 5 / (7 + 6)) < 1e-9 and row[0]["length"] == 7 and 0 < row[0]["similarity"] < 1
+    assert row[1]["bleu"] == 0 and row[1]["rouge_l"] == 0 and row[1]["length"] == 0 or row[1]["length"] == -1
+
+
+def test_requests_never_fail():
+    def one_(p):
+        if p == "bad":
+            raise RuntimeError
+        return p.upper()
+
+    asked = scoring.Requests(Names(one_), temperature=0.1)
+    assert asked.generate(["a", "bad"]) == ["A", ""] and asked.update_params(top_p=1).params == {"temperature": 0.1, "top_p": 1} and asked.params == {"temperature": 0.1}
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+    (tmp_path / "a.jsonl").write_text('{"context": "c1"}\n{"context": "c2"}\n')
+    assert [r["text"] for r in readers.jsonl(spark, at("a.jsonl"), "context string").collect()] == ["c1", "c2"]
+    (tmp_path / "t.txt").write_text("one\n\ntwo\n")
+    assert [r["text"] for r in readers.text_lines(spark, at("t.txt")).collect()] == ["one", "", "two"]
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "x").write_text("1\n2")
+    (tmp_path / "d" / "e" / "y").write_text("3")
+    assert sorted(r["text"] for r in readers.text_folder(spark, at("d")).collect()) == ["1", "2", "3"]
+    spark.createDataFrame([(["a", "b"],)], "documents array<string>").write.parquet(at("p"))
+    assert readers.parquet_documents(spark, at("p")).first()["text"] == "a\n\nb"
+    (tmp_path / "m.json").write_text('[{"title": "t", "published_at": "p", "source": "s", "body": "b"}]')
+    assert tuple(readers.with_metadata(spark, at("m.json")).first()) == ("b", ("t", "p", "s"))
+    rows = spark.createDataFrame([(i, f"Word{i % 3} x x") for i in range(9)], "doc_id long, text string")
+    assert [r["doc_id"] for r in readers.shuffled(rows, "doc_id").collect()] == [r["doc_id"] for r in readers.shuffled(rows.repartition(3), "doc_id").collect()] != list(range(9))
+    writers.postings(rows, at("index"))
+    assert sorted(map(tuple, writers.search_postings(spark, at("index"), ["X", "word1"]).collect())) == sorted([("x", i, 2) for i in range(9)] + [("word1", i, 1) for i in (1, 4, 7)])
+    writers.collection(rows, at("c"))
+    writers.collection(rows, at("c"), append=True)
+    assert spark.read.parquet(at("c")).count() == 18
+    writers.result_document({"task": "t"}, spark.sql("SELECT 1.5 AS score"), rows, at("r"))
+    assert spark.read.json(at("r/overall")).first()["info"]["task"] == "t" and spark.read.json(at("r/results")).count() == 9
+
+
+def test_streams_are_the_batch(spark, tmp_path):
+    from lamina.streaming import chunks as streaming
+
+    at = lambda name: f"file://{tmp_path}/{name}"
+    docs = spark.createDataFrame([(i, "One two three. Two three four! Five six? Seven eight.") for i in range(6)], "doc_id long, text string")
+    docs.write.parquet(at("in"))
+    stream = spark.readStream.schema(docs.schema).parquet(at("in"))
+    streaming.margin_stream(stream, at("out"), at("cp")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda r: (r["doc_id"], r["chunk_id"], r["text"])
+    want = sorted(map(key, chunking.margin_chunks(chunking.split_sentences(docs)).collect()))
+    assert sorted(map(key, spark.read.parquet(at("out")).collect())) == want
+    rng = random.Random(5)
+    losses = [(s, d, [rng.random() for _ in range(20)]) for s in (1, 2) for d in range(8)]
+    frame = spark.createDataFrame(losses, "stream_id long, doc_id long, losses array<double>").coalesce(1)
+    frame.write.parquet(at("losses"))
+    rows = spark.readStream.schema(frame.schema).parquet(at("losses"))
+    query = streaming.dynamic_minima_stream(rows).writeStream.format("memory").queryName("minima").option("checkpointLocation", at("cp2")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = []
+    for s in (1, 2):
+        fold = chunking.DynamicMinima(0.0)
+        want += [(s, d, i) for t, d, xs in losses if t == s for i in fold.boundaries(xs)]
+    assert sorted(map(tuple, spark.table("minima").collect())) == want
