@@ -14,6 +14,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lamina.functions import edits
+
 #: Edits allowed per character of an item.
 RATE = 0.06
 #: Characters of items in one pass over the texts: bounds what is sent out.
@@ -37,43 +39,7 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(n * i // k, item[n * i // k : n * (i + 1) // k]) for i in range(k)]
 
 
-class Myers:
-    """Least edit distance of a pattern to a substring of a text. The columns
-    of the dynamic programme are bit vectors; Python's integers have any width."""
-
-    def __init__(self, pattern: str):
-        self.length = len(pattern)
-        self.masks: dict[str, int] = {}
-        for i, c in enumerate(pattern):
-            self.masks[c] = self.masks.get(c, 0) | 1 << i
-
-    def distances(self, text: str, anchored: bool = False) -> Iterator[int]:
-        """Least distance to any substring that ends at each place in turn, or to
-        the whole text so far if ``anchored``."""
-        full, top = (1 << self.length) - 1, 1 << self.length - 1
-        up, down, score = full, 0, self.length
-        for c in text:
-            eq = self.masks.get(c, 0)
-            vertical = eq | down
-            diagonal = (((eq & up) + up) ^ up) | eq
-            plus = down | (full & ~(diagonal | up))
-            minus = up & diagonal
-            if plus & top:
-                score += 1
-            elif minus & top:
-                score -= 1
-            plus = (plus << 1 | anchored) & full  # a match may begin anywhere: no cost enters from above
-            minus = (minus << 1) & full
-            up = minus | (full & ~(vertical | plus))
-            down = plus & vertical
-            yield score
-
-    def distance(self, text: str) -> int:
-        score = self.length
-        for score in self.distances(text, anchored=True):
-            pass
-        return score
-
+class Myers(edits.Myers):
     def best(self, text: str) -> tuple[int, int]:
         """(distance, end of the first substring that has it)."""
         least, end = self.length, 0

@@ -7,29 +7,11 @@ its lineage, keeps only its columns, and survives the loss of an executor.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests on
-    one machine) a folder under /tmp/checkpoints."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import os
-
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        folder = "file://" + tempfile.mkdtemp(prefix="lamina-", dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from lamina.operators.tables import delete, shared_folder
 
 
 class Scratch:
@@ -51,11 +33,11 @@ class Scratch:
 
     def drop(self, saved: DataFrame) -> None:
         if path := self.paths.get(id(saved)):
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def close(self) -> None:
         if self.spark.sparkContext._jsc is not None:
             try:
-                _delete(self.spark, self.folder)
+                delete(self.spark, self.folder)
             except Exception:  # the gateway is gone: the cluster's own clean-up is left
                 pass
