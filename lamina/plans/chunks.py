@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.operators import chunking, quality, scoring
 
-from .common import LOSSES, SENTENCES, docs, gathered, n_words, registry, words_sql
+from .common import LOSSES, SENTENCES, cosine_sql, docs, gathered, hashed_sql, n_words, registry, words_sql
 from .texts import _merged
 
 QUERIES, SQL, query = registry()
@@ -99,7 +99,12 @@ def lumber_ms_chunk(spark, sf_dir):
     return chunking.lumber_chunks(_sentences(spark, sf_dir), chunking.least_overlap)
 
 
-@query()
+@query(f"""WITH {SENTENCES}, nb AS (SELECT doc_id, sent_id, sentence, concat_ws(' ', lag(sentence) OVER w, sentence, lead(sentence) OVER w) AS j FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY sent_id)),
+em AS (SELECT doc_id, sent_id, sentence, {hashed_sql('j')} AS e FROM nb), ne AS (SELECT *, lead(e) OVER (PARTITION BY doc_id ORDER BY sent_id) AS f FROM em),
+ds AS (SELECT *, CASE WHEN f IS NOT NULL THEN round(1 - {cosine_sql('e', 'f')}, 6) END AS d FROM ne),
+lm AS (SELECT *, round(quantile_cont(d, 0.74) OVER (PARTITION BY doc_id), 6) AS lim FROM ds),
+sx AS (SELECT doc_id, sent_id, sentence, coalesce(sum(coalesce(d > lim, false)::INTEGER) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS chunk_id FROM lm)
+{gathered('sx', ' ')}""")
 def semantic_chunk(spark, sf_dir):
     return _digest(chunking.semantic_chunks(_sentences(spark, sf_dir)))
 
@@ -139,13 +144,15 @@ def propositions(spark, sf_dir):
     return chunking.propositions(packs, _AsList()).select("doc_id", "merged_id", "prop_id", F.md5(F.col("proposition").cast("binary")).alias("digest"))
 
 
-@query()
+_CHUNKS = _merged(f"len({words_sql('{0}')})", f"WITH {SENTENCES} SELECT doc_id, list(sentence ORDER BY sent_id) AS ps FROM st GROUP BY doc_id", " ", 147).replace("SELECT doc_id, merged_id, md5(t) AS digest FROM u", "")
+_CHUNK_WORDS = _CHUNKS.rstrip().rstrip(",") + f", cw AS (SELECT doc_id, merged_id AS chunk_id, {words_sql('lower(t)')} AS ws FROM u)"
+
+
+@query(f"{_CHUNKS.rstrip().rstrip(',')}, ve AS (SELECT doc_id, merged_id AS chunk_id, {hashed_sql('t')} AS e FROM u), vn AS (SELECT *, lead(e) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS f FROM ve) SELECT doc_id, chunk_id, round(1 - {cosine_sql('e', 'f')}, 6) AS dissimilarity FROM vn WHERE f IS NOT NULL")
 def chunk_dissimilarity(spark, sf_dir):
     return quality.dissimilarity(_merged_chunks(spark, sf_dir))
 
 
-_CHUNKS = _merged(f"len({words_sql('{0}')})", f"WITH {SENTENCES} SELECT doc_id, list(sentence ORDER BY sent_id) AS ps FROM st GROUP BY doc_id", " ", 147).replace("SELECT doc_id, merged_id, md5(t) AS digest FROM u", "")
-_CHUNK_WORDS = _CHUNKS.rstrip().rstrip(",") + f", cw AS (SELECT doc_id, merged_id AS chunk_id, {words_sql('lower(t)')} AS ws FROM u)"
 _LOSS = "({0} * ln(2::DOUBLE) + ({1} - {0}) * ln(20::DOUBLE))"
 
 
