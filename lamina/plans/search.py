@@ -126,6 +126,8 @@ def near_dup_greedy(spark, sf_dir):
     """Over the whole texts of each query's hits: lists are short by definition."""
     hits = retrieval.with_texts(_bm25(spark, sf_dir), docs(spark, sf_dir))
     lists = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("hits"))
+    # few rows with much work each: dealt out, else they end up in one task
+    lists = lists.repartition(4 * spark.sparkContext.defaultParallelism, "query_id")
     return lists.select("query_id", F.size("hits").alias("n"), F.size(retrieval.distinct_hits(F.col("hits"))).alias("kept"))
 
 
