@@ -25,20 +25,19 @@ LAMBDA = 0.7
 
 
 def bigrams(sentences: DataFrame) -> DataFrame:
-    """doc_id, sent_id, v, w, n: each token with the one before it in the document (null for
-    the first, and for the first of each ``batch`` if there is such a column), and how often the
-    sentence has the pair. The window runs over sentences, not tokens."""
+    """doc_id, sent_id, v, w: each token with the one before it in the document (null for the
+    first, and for the first of each ``batch`` if there is such a column). The window runs
+    over sentences, not tokens."""
     run = [c for c in ("doc_id", "batch") if c in sentences.columns]
     rows = sentences.select(*run, "sent_id", words(F.col("sentence")).alias("ws")).filter(F.size("ws") > 0)
     rows = rows.withColumn("before", F.lag(F.element_at("ws", -1)).over(W.partitionBy(*run).orderBy("sent_id")))
     vs = F.concat(F.array("before"), F.slice("ws", 1, F.size("ws") - 1))
-    pairs = rows.select("doc_id", "sent_id", F.explode(F.arrays_zip(vs.alias("v"), F.col("ws").alias("w"))).alias("p"))
-    return pairs.groupBy("doc_id", "sent_id", F.col("p.v").alias("v"), F.col("p.w").alias("w")).agg(F.count("*").alias("n"))
+    return rows.select("doc_id", "sent_id", F.explode(F.arrays_zip(vs.alias("v"), F.col("ws").alias("w"))).alias("p")).select("doc_id", "sent_id", F.col("p.v").alias("v"), F.col("p.w").alias("w"))
 
 
 def fit_bigram(pairs: DataFrame) -> DataFrame:
     """v, w, loss, vw of every bigram seen: -ln of the interpolated probability, and how often it was."""
-    seen = pairs.groupBy("v", "w").agg(F.sum("n").alias("vw"))
+    seen = pairs.groupBy("v", "w").agg(F.count("*").alias("vw"))
     unigrams = seen.groupBy("w").agg(F.sum("vw").alias("n"))
     total = unigrams.agg(F.sum("n").alias("tokens"), F.count("*").alias("vocabulary"))
     of_v = unigrams.select(F.col("w").alias("v"), F.col("n").alias("nv"))
@@ -64,12 +63,10 @@ def sentence_loss(sentences: DataFrame, fit_on: DataFrame | None = None) -> Data
     """doc_id, sent_id, loss: mean token loss to six places, under the model of
     these sentences themselves (or of ``fit_on``); null if a sentence has no token with a loss.
 
-    Equal bigrams in a sentence are combined before the loss is looked up. The pairs
-    are a table, written once and read by the model and the lookup."""
+    The pairs are a table, written once and read by the model and the lookup."""
     shared = saved(bigrams(sentences))
     scored = token_loss(shared, saved(fit_bigram(shared if fit_on is None else bigrams(fit_on))))
-    mean = F.sum(F.col("loss") * F.col("n")) / F.sum(F.when(F.col("loss").isNotNull(), F.col("n")))
-    return scored.groupBy("doc_id", "sent_id").agg(F.round(mean, 6).alias("loss"))
+    return scored.groupBy("doc_id", "sent_id").agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
 def perplexity(probabilities: Column) -> Column:
