@@ -25,7 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of texts with a five-word similarity of 0.8 or more, its links
+    """Links texts by operator 3's fingerprints, checks them and adds what differs in more bits.
+    Keeps of each group of texts with a five-word similarity of 0.8 or more, its links
     followed, the row with the smallest doc_id (nulls last; then by a hash of the text; of rows
     equal in both, one)."""
     scratch = Scratch(spark)

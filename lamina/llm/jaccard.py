@@ -1,8 +1,12 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, checked and completed by exact Jaccard similarity.
 
 Two texts link if their sets of five-word shingles have a similarity of 0.8 or
-more. So a fifth of a text's shingles at most are missing from a similar one, and
-that is used twice.
+more. Every text is fingerprinted and indexed as operator 3 does it (``simhash``);
+pairs that meet there within two bits are verified on their whole sets.
+
+Most pairs of 0.8 differ in more bits than an index of 64 can bear, so an exact way
+finds the rest. A fifth of a text's shingles at most are missing from a similar one,
+and that is used twice.
 
 First, of a third of all shingles, the same by their hash in every text, those are
 counted that another text has too: a text with too few of them has no similar text,
@@ -11,9 +15,9 @@ common, a similar pair shares one of the first ``n - ceil(0.8 n) + 1`` of each t
 (the prefix filter), so texts meet at those, and no pair is missed. A shingle
 that no other text has joins nothing.
 
-Of a shingle with two texts the pair is verified. Where more meet, each is first
-verified against the one whose shingle comes earliest (the least edited of many
-edits of a text); only texts that these links don't join yet are then paired.
+Only texts that no link joins yet are paired. Of a shingle with two texts the pair is
+verified. Where more meet, each is first verified against the one whose shingle comes
+earliest (the least edited of many edits of a text), then those still apart are paired.
 A bitmap of each set, of two to four bits a shingle, rules most pairs out before
 that: a bit that only one of two sets has is a shingle that the other lacks.
 """
@@ -28,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import BooleanType
 
+from . import simhash
 from .graph import components
 from .scratch import Scratch
 
@@ -95,15 +100,15 @@ def not_ruled_out(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Serie
 
 
 def prints(text: Column, words: int = WORDS) -> Column:
-    @F.pandas_udf("set_id long, n int, bits binary, some array<bigint>")
+    @F.pandas_udf("set_id long, n int, bits binary, some array<bigint>, fp long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for t in batch:
                 own = shingles(t, words)
                 set_id = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
-                out.append((set_id, len(own), bitmap(own), part(own)))
-            yield pd.DataFrame(out, columns=["set_id", "n", "bits", "some"]).astype({"set_id": "int64", "n": "int32"})
+                out.append((set_id, len(own), bitmap(own), part(own), simhash.fingerprint(t)))
+            yield pd.DataFrame(out, columns=["set_id", "n", "bits", "some", "fp"]).astype({"set_id": "int64", "n": "int32", "fp": "int64"})
 
     return run(text)
 
@@ -125,6 +130,23 @@ def bounded(rows: DataFrame, most: int = 250_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of ``sets`` (set_id once each, fp) that operator 3 links: of those with one
+    fingerprint each with the least, and of linked fingerprints the least of both."""
+    heads = scratch.save(sets.groupBy("fp").agg(F.min("set_id").alias("head")))
+    end = lambda at: heads.select(F.col("fp").alias(at), F.col("head").alias(f"{at}_head"))
+    near = simhash.links(heads.select("fp"), scratch).join(end("u"), "u").join(end("v"), "v").select(F.col("u_head").alias("a"), F.col("v_head").alias("b"))
+    same = sets.select("set_id", "fp").join(heads, "fp").filter("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b"))
+    return scratch.save(near.unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) that no path joins yet."""
+    for at in ("u", "v"):
+        pairs = pairs.join(bounded(roots.select(F.col("node").alias(at), F.col("root").alias(f"{at}_root"))), at, "left")
+    return pairs.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def meeting(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """set_id of the sets that may have a similar one.
 
@@ -163,37 +185,46 @@ def rarest(full: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(placed.filter(F.col("n") - F.col("k") + F.col("at") < take(F.col("n"))).select("set_id", "n", "k", "at", "h"))
 
 
-def links(sets: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of similar sets.
-    ``sets``: set_id once each, n, bits, least (a key of ``rows`` and ``docs``)."""
-    full = whole_sets(sets, rows, docs, scratch, words)
+def similar(pairs: DataFrame, sets: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (u, v) that are similar; all that are have both ends in ``sets``."""
+    side = lambda at, n, bits: sets.select(F.col("set_id").alias(at), F.col("n").alias(n), F.col("bits").alias(bits))
+    held = pairs.join(side("u", "x", "a"), "u").join(side("v", "y", "b"), "v")
+    likely = scratch.save(held.filter(not_ruled_out("x", "a", "y", "b")).select("u", "v"))
+    named = scratch.save(likely.select(F.explode(F.array("u", "v")).alias("set_id")).distinct())
+    few = scratch.save(full.join(bounded(named), "set_id", "left_semi"))
+    both = likely.join(few.select(F.col("set_id").alias("u"), F.col("own").alias("x")), "u").join(few.select(F.col("set_id").alias("v"), F.col("own").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return scratch.save(both.filter(shared * (ABOVE + BELOW) >= (F.size("x") + F.size("y")) * ABOVE).select("u", "v"))
+
+
+def rest(found: DataFrame, tried: DataFrame, sets: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
+    """``found``, similar pairs among those that were ``tried``, and more of them, whose components
+    are then those of all."""
     members = rarest(full, scratch)
     heads = members.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct((F.col("n") - F.col("k") + F.col("at")).alias("first"), "set_id", "n", "k", "at")).alias("a")).filter("m > 1").select("h", "a")
     heads = scratch.save(heads)
     stars = members.select("h", F.struct("set_id", "n", "k", "at").alias("b")).join(bounded(heads), "h").filter((F.col("a.set_id") != F.col("b.set_id")) & possible("a", "b"))
-    pairs = scratch.save(stars.select(F.least("a.set_id", "b.set_id").alias("u"), F.greatest("a.set_id", "b.set_id").alias("v")).distinct())
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        side = lambda at, n, bits: sets.select(F.col("set_id").alias(at), F.col("n").alias(n), F.col("bits").alias(bits))
-        held = pairs.join(side("u", "x", "a"), "u").join(side("v", "y", "b"), "v")
-        likely = scratch.save(held.filter(not_ruled_out("x", "a", "y", "b")).select("u", "v"))
-        named = scratch.save(likely.select(F.explode(F.array("u", "v")).alias("set_id")).distinct())
-        few = scratch.save(full.join(bounded(named), "set_id", "left_semi"))
-        both = likely.join(few.select(F.col("set_id").alias("u"), F.col("own").alias("x")), "u").join(few.select(F.col("set_id").alias("v"), F.col("own").alias("y")), "v")
-        shared = F.size(F.array_intersect("x", "y"))
-        return scratch.save(both.filter(shared * (ABOVE + BELOW) >= (F.size("x") + F.size("y")) * ABOVE).select("u", "v"))
-
-    found = similar(pairs)
+    pairs = stars.select(F.least("a.set_id", "b.set_id").alias("u"), F.greatest("a.set_id", "b.set_id").alias("v")).distinct()
+    pairs = scratch.save(apart(pairs, components(found, scratch)).join(tried, ["u", "v"], "left_anti"))
+    found = scratch.save(found.unionByName(similar(pairs, sets, full, scratch)))
     roots = components(found, scratch)
     placed = members.join(bounded(heads.select("h")), "h", "left_semi").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     placed = scratch.save(placed)
     mixed = placed.groupBy("h").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("n").alias("least")).filter("p < q").select("h", "least")
     # a set that has too little left even for the smallest set that meets there stays out
     able = (F.col("k") - F.col("at")) * (ABOVE + BELOW) >= (F.col("n") + F.col("least")) * ABOVE
-    apart = scratch.save(placed.join(mixed, "h").filter(able).select("h", F.struct("set_id", "n", "k", "at", "root").alias("a")))
-    rest = apart.join(apart.withColumnRenamed("a", "b"), "h").filter((F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & possible("a", "b"))
-    rest = scratch.save(rest.select(F.col("a.set_id").alias("u"), F.col("b.set_id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"))
-    out = found if rest.isEmpty() else scratch.save(found.unionByName(similar(rest)))
+    able = scratch.save(placed.join(mixed, "h").filter(able).select("h", F.struct("set_id", "n", "k", "at", "root").alias("a")))
+    left = able.join(able.withColumnRenamed("a", "b"), "h").filter((F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & possible("a", "b"))
+    left = left.select(F.col("a.set_id").alias("u"), F.col("b.set_id").alias("v")).distinct()
+    left = scratch.save(left.join(pairs.unionByName(tried), ["u", "v"], "left_anti"))
+    return found if left.isEmpty() else scratch.save(found.unionByName(similar(left, sets, full, scratch)))
+
+
+def links(sets: DataFrame, pairs: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of similar sets; ``pairs`` are tried first.
+    ``sets``: set_id once each, n, bits, least (a key of ``rows`` and ``docs``)."""
+    full = whole_sets(sets, rows, docs, scratch, words)
+    out = rest(similar(pairs, sets, full, scratch), pairs, sets, full, scratch)
     scratch.drop(full)
     return out
 
@@ -205,14 +236,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     wide = scratch.save(docs.select("__key", prints(F.col("text"), words).alias("p")).select("__key", "p.*"))
     rows = scratch.save(wide.select("__key", "set_id"))
     # copies are combined before the shuffle; each set has one bitmap and one list
-    sets = wide.groupBy("set_id").agg(F.min("__key").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("some").alias("some"))
+    sets = wide.groupBy("set_id").agg(F.min("__key").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("some").alias("some"), F.min("fp").alias("fp"))
     sets = scratch.save(sets)
     scratch.drop(wide)
+    pairs = candidates(sets, scratch)
     meet = meeting(sets, scratch)
     near = scratch.save(sets.select("set_id", "n", "bits", "least").join(bounded(meet), "set_id", "left_semi"))
     least = scratch.save(sets.select("set_id", "least"))
     scratch.drop(sets)
-    linked = components(links(near, rows, docs, scratch, words), scratch)
+    linked = components(links(near, pairs, rows, docs, scratch, words), scratch)
     owners = linked.join(least.withColumnRenamed("set_id", "node"), "node")
     ids = owners.groupBy("root").agg(F.min("least").alias("__least"))
     reached = linked.join(ids, "root").select(F.col("node").alias("set_id"), "__least")
