@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.functions.metrics import cosine
@@ -38,36 +43,100 @@ def boundary_clarity(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.round(F.avg(ratio), 6).alias("clarity"))
 
 
+#: Pairs of equal words that are counted at once, and edges in a batch.
+PAIRS, EDGES = 2_000_000, 200_000
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")  # what ``\\s`` is to Spark
+
+
+def _known_words(chunks: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows i, some at a time, of the matrix that has how many words of chunk j are in chunk i,
+    from the first row's number on; 0 on the diagonal."""
+    place: dict[str, int] = {}
+    words_ = np.array([place.setdefault(w, len(place)) for ws in chunks for w in ws], np.int64)
+    keys, n = np.unique(np.repeat(np.arange(len(chunks)), [len(ws) for ws in chunks]) * len(place) + words_, return_counts=True)
+    i, w = keys // len(place), keys % len(place)
+    by_word = np.argsort(w, kind="stable")
+    starts = np.searchsorted(w[by_word], np.arange(len(place) + 1))
+    often = np.diff(starts)[w]
+    begins = np.searchsorted(i, np.arange(len(chunks) + 1))
+    upto = np.concatenate([[0], np.cumsum(often)])[begins] + np.arange(len(chunks) + 1) * len(chunks)
+    row = 0
+    while row < len(chunks):
+        end = max(row + 1, int(np.searchsorted(upto, upto[row] + PAIRS, "right")) - 1)
+        own = slice(begins[row], begins[end])
+        m = often[own]
+        other = by_word[np.repeat(starts[w[own]] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        known = np.bincount(np.repeat(i[own] - row, m) * len(chunks) + i[other], n[other], (end - row) * len(chunks)).astype(np.int64).reshape(-1, len(chunks))
+        known[np.arange(end - row), np.arange(row, end)] = 0
+        yield row, known
+        row = end
+
+
+def _graph(chunks: DataFrame, both_ways: bool) -> DataFrame:
+    """doc_id, i, j, known, n: of the words of chunk j, how many chunk i has, and all; a document
+    is counted where its chunks are, nothing is joined."""
+    id_, number = (chunks.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_id"))
+    own = chunks.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("chunk_id", F.lower("text").alias("text"))).alias("cs"))
+
+    def edges(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for doc, cs in enumerate(batch.column("cs").to_pylist()):
+            found: dict[int, list[str]] = {}
+            for c in cs:
+                if ws := [w for w in _BLANKS.split(c["text"] or "") if w]:
+                    found.setdefault(c["chunk_id"], []).extend(ws)
+            if not found:
+                continue
+            names, n = np.array(sorted(found), np.int64), np.array([len(found[c]) for c in sorted(found)], np.int64)
+            for row, known in _known_words([found[c] for c in sorted(found)]):
+                i, j = (x.ravel() for x in np.indices(known.shape))
+                keep = slice(None) if both_ways else j >= i + row
+                i, j = i[keep], j[keep]
+                yield np.full(len(i), doc), names[i + row], names[j], known[i, j], n[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for part in chain(edges(batch), [None]):
+                if held and (part is None or size >= EDGES):
+                    doc, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *map(pa.array, rest)], ["doc_id", "i", "j", "known", "n"])
+                    held, size = [], 0
+                if part is not None:
+                    held.append(part)
+                    size += len(part[0])
+
+    rows = own.mapInArrow(run, f"doc_id {id_}, i long, j long, known long, n long")
+    return rows.select("doc_id", F.col("i").cast(number).alias("i"), F.col("j").cast(number).alias("j"), "known", "n")
+
+
 def chunk_graph(chunks: DataFrame, both_ways: bool = True) -> DataFrame:
     """doc_id, i, j, loss, n: summed loss of chunk j given chunk i, for all pairs
     of a document's chunks (j >= i only, if not ``both_ways``); the diagonal is
-    the loss without context. That all pairs are edges is the measure's definition.
-
-    Known words are counted by an equality join on (document, word), which
-    the diagonal doesn't need."""
-    ws = chunks.select("doc_id", "chunk_id", F.explode(words(F.lower("text"))).alias("w"))
-    counts = ws.groupBy("doc_id", "chunk_id", "w").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("doc_id", "chunk_id").agg(F.sum("c").alias("n"))
-    a = counts.select("doc_id", F.col("chunk_id").alias("i"), "w")
-    b = counts.select("doc_id", F.col("chunk_id").alias("j"), "w", "c")
-    known = a.join(b, ["doc_id", "w"]).filter("i <> j").groupBy("doc_id", "i", "j").agg(F.sum("c").alias("known"))
-    left, right = sizes.select("doc_id", F.col("chunk_id").alias("i")), sizes.select("doc_id", F.col("chunk_id").alias("j"), "n")
-    pairs = left.join(right, "doc_id")
-    pairs = pairs if both_ways else pairs.filter("j >= i")
-    out = pairs.join(known, ["doc_id", "i", "j"], "left")
-    return out.select("doc_id", "i", "j", F.round(_loss(F.coalesce("known", F.lit(0)), F.col("n")), 6).alias("loss"), "n")
+    the loss without context. That all pairs are edges is the measure's definition."""
+    return _graph(chunks, both_ways).select("doc_id", "i", "j", F.round(_loss(F.col("known"), F.col("n")), 6).alias("loss"), "n")
 
 
 def stickiness(graph: DataFrame, delta: float = 0.0) -> DataFrame:
     """doc_id, i, j, w: e^(mean loss given i - mean loss alone), plus delta times
-    the relative distance; 1 on the diagonal."""
-    alone = graph.filter("i = j").select("doc_id", "j", (F.col("loss") / F.col("n")).alias("alone"))
-    rows = graph.join(alone, ["doc_id", "j"])
-    far = F.abs(F.col("i") - F.col("j")) / F.greatest(F.max("j").over(W.partitionBy("doc_id")), F.lit(1))
-    weight = 1 - (F.exp("alone") - F.exp(F.col("loss") / F.col("n"))) / F.exp("alone") + delta * far
+    the relative distance; 1 on the diagonal.
+
+    ``graph`` may have the loss by word alone (``alone``); else edges meet at the chunk they lead to."""
+    rows = graph
+    if "alone" not in graph.columns:
+        alone = F.max(F.when(F.col("i") == F.col("j"), F.col("loss") / F.col("n"))).alias("alone")
+        rows = graph.groupBy("doc_id", "j").agg(F.collect_list(F.struct("i", "loss", "n")).alias("from"), alone)
+        rows = rows.filter("alone IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "j", "alone", F.inline("from"))
+    weight = 1 - (F.exp("alone") - F.exp(F.col("loss") / F.col("n"))) / F.exp("alone")
+    weight += delta * F.abs(F.col("i") - F.col("j")) / F.greatest(F.max("j").over(W.partitionBy("doc_id")), F.lit(1)) if delta else F.lit(0.0)
     return rows.select("doc_id", "i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.round(weight, 6)).alias("w"))
 
 
+def chunk_stickiness(chunks: DataFrame, both_ways: bool = True, delta: float = 0.0) -> DataFrame:
+    """``stickiness`` of the ``chunk_graph``, whose loss alone is known from a chunk's size: no edge meets another."""
+    n = F.col("n")
+    return stickiness(_graph(chunks, both_ways).select("doc_id", "i", "j", F.round(_loss(F.col("known"), n), 6).alias("loss"), "n", (F.round(_loss(F.lit(0), n), 6) / n).alias("alone")), delta)
+
+
 def strong_edges(weights: DataFrame, least: float = 0.8) -> DataFrame:
     return weights.filter((F.col("w") > least) & (F.col("i") != F.col("j")))
 

@@ -178,7 +178,7 @@ def chunk_graph(spark, sf_dir):
 
 @query(f"{_STICKY} SELECT doc_id, i, j, w FROM sw")
 def chunk_stickiness_graph(spark, sf_dir):
-    return quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir)))
+    return quality.chunk_stickiness(_merged_chunks(spark, sf_dir))
 
 
 def _entropy(edges: str) -> str:
@@ -188,7 +188,7 @@ ex AS (SELECT doc_id, round(sum(-p * log2(p)), 6) AS e FROM pp GROUP BY doc_id),
 
 
 def _structure(spark, sf_dir, both_ways: bool = True) -> DataFrame:
-    weights = quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir), both_ways))
+    weights = quality.chunk_stickiness(_merged_chunks(spark, sf_dir), both_ways)
     return quality.structural_entropy(quality.strong_edges(weights), docs(spark, sf_dir))
 
 
@@ -209,12 +209,12 @@ def entropy_mean(spark, sf_dir):
 
 @query(_STICKY + " SELECT doc_id, round(avg(w), 3) AS mean_weight FROM sw GROUP BY doc_id")
 def graph_mean_weight(spark, sf_dir):
-    weights = quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir)))
+    weights = quality.chunk_stickiness(_merged_chunks(spark, sf_dir))
     return weights.groupBy("doc_id").agg(F.round(F.avg("w"), 3).alias("mean_weight"))
 
 
 def _weights(spark, sf_dir) -> DataFrame:
-    return quality.stickiness(quality.chunk_graph(_merged_chunks(spark, sf_dir)))
+    return quality.chunk_stickiness(_merged_chunks(spark, sf_dir))
 
 
 @query()

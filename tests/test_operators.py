@@ -443,3 +443,25 @@ def test_bm25_shuffles_no_words_and_takes_rows_of_one_id_together(spark):
         best = sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:2]
         expect |= {(q, i, round(s, 6), r) for r, (i, s) in enumerate(best, 1)}
     assert {(r.query_id, r.doc_id, r.score, r.rank) for r in out.collect()} == expect
+
+
+def test_stickiness_joins_no_edges(spark):
+    from lamina.plans import registry
+
+    for name in ("chunk_stickiness_graph", "graph_mean_weight", "path_edges"):
+        assert "Join" not in _plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_chunk_graph_counts_words_in_blocks_and_stickiness_agrees(spark, monkeypatch):
+    from itertools import product
+
+    texts = {0: "A b b c", 1: "b a a d", 2: " ", 4: "c d e a"}
+    words = {c: [w for w in t.lower().split(" ") if w] for c, t in texts.items() if t.strip()}
+    monkeypatch.setattr(quality, "PAIRS", 3)
+    assert sum(len(k) for _, k in quality._known_words(list(words.values()))) == 3
+    chunks = spark.createDataFrame([("d", c, t) for c, t in texts.items()] + [("e", 0, None), (None, 0, "a")], "doc_id string, chunk_id int, text string")
+    rows = {(r.doc_id, r.i, r.j): (r.loss, r.n) for r in quality.chunk_graph(chunks).collect()}
+    assert rows == {("d", i, j): (round(sum(math.log(2) if i != j and w in words[i] else math.log(20) for w in words[j]), 6), len(words[j])) for i, j in product(words, words)}
+    for delta in (0.0, 0.5):
+        a, b = quality.chunk_stickiness(chunks, True, delta), quality.stickiness(quality.chunk_graph(chunks), delta)
+        assert sorted(a.collect()) == sorted(b.collect())
