@@ -24,20 +24,32 @@ from .tables import saved
 LAMBDA = 0.7
 
 
-def bigrams(sentences: DataFrame) -> DataFrame:
-    """doc_id, sent_id, v, w: each token with the one before it in the document (null for the
-    first, and for the first of each ``batch`` if there is such a column). The window runs
-    over sentences, not tokens."""
-    run = [c for c in ("doc_id", "batch") if c in sentences.columns]
-    rows = sentences.select(*run, "sent_id", words(F.col("sentence")).alias("ws")).filter(F.size("ws") > 0)
-    rows = rows.withColumn("before", F.lag(F.element_at("ws", -1)).over(W.partitionBy(*run).orderBy("sent_id")))
+def in_context(sentences: DataFrame) -> DataFrame:
+    """doc_id, sent_id, sentence, before: sentences with a token, with the last token before them in the
+    document (null for the first). If there is a column ``batch``, also begins: the sentence is the
+    first of its batch. The window runs over sentences, not tokens, and texts are dealt out uncut."""
+    last = W.partitionBy("doc_id").orderBy("sent_id")
+    kept = [c for c in ("batch",) if c in sentences.columns]
+    rows = sentences.select("doc_id", "sent_id", "sentence", *kept).repartition("doc_id").filter(F.size(words(F.col("sentence"))) > 0)
+    rows = rows.withColumn("before", F.lag(F.element_at(words(F.col("sentence")), -1)).over(last))
+    if kept:
+        rows = rows.withColumn("begins", F.coalesce(F.col("batch") != F.lag("batch").over(last), F.lit(True)))
+    return rows.drop("batch")
+
+
+def bigrams(context: DataFrame) -> DataFrame:
+    """doc_id, sent_id, v, w of sentences ``in_context``: each token with the one before it in the document; and
+    begins, true for the first token of a batch, if the sentences have it."""
+    flag = [c for c in ("begins",) if c in context.columns]
+    rows = context.select("doc_id", "sent_id", "before", *flag, words(F.col("sentence")).alias("ws"))
     vs = F.concat(F.array("before"), F.slice("ws", 1, F.size("ws") - 1))
-    return rows.select("doc_id", "sent_id", F.explode(F.arrays_zip(vs.alias("v"), F.col("ws").alias("w"))).alias("p")).select("doc_id", "sent_id", F.col("p.v").alias("v"), F.col("p.w").alias("w"))
+    pairs = rows.select("doc_id", "sent_id", *flag, F.posexplode(F.arrays_zip(vs.alias("v"), F.col("ws").alias("w"))).alias("at", "p"))
+    return pairs.select("doc_id", "sent_id", *[(F.col(c) & (F.col("at") == 0)).alias(c) for c in flag], F.col("p.v").alias("v"), F.col("p.w").alias("w"))
 
 
 def fit_bigram(pairs: DataFrame) -> DataFrame:
     """v, w, loss, vw of every bigram seen: -ln of the interpolated probability, and how often it was."""
-    seen = pairs.groupBy("v", "w").agg(F.count("*").alias("vw"))
+    seen = saved(pairs.groupBy("v", "w").agg(F.count("*").alias("vw")))  # read by both joins and for the words
     unigrams = seen.groupBy("w").agg(F.sum("vw").alias("n"))
     total = unigrams.agg(F.sum("n").alias("tokens"), F.count("*").alias("vocabulary"))
     of_v = unigrams.select(F.col("w").alias("v"), F.col("n").alias("nv"))
@@ -59,14 +71,17 @@ def token_loss(pairs: DataFrame, model: DataFrame, frequent: int = FREQUENT) ->
     return known.filter(F.col("loss").isNotNull() | F.col("v").isNull()).unionByName(rest)
 
 
+def _scored(sentences: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
+    """The pairs of words with their loss. Sentences in their context are a table, written once and cut into
+    pairs by the model and by the lookup: texts take less room than pairs."""
+    pairs = bigrams(saved(in_context(sentences)))
+    return token_loss(pairs, saved(fit_bigram(pairs if fit_on is None else bigrams(in_context(fit_on)))))
+
+
 def sentence_loss(sentences: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """doc_id, sent_id, loss: mean token loss to six places, under the model of
-    these sentences themselves (or of ``fit_on``); null if a sentence has no token with a loss.
-
-    The pairs are a table, written once and read by the model and the lookup."""
-    shared = saved(bigrams(sentences))
-    scored = token_loss(shared, saved(fit_bigram(shared if fit_on is None else bigrams(fit_on))))
-    return scored.groupBy("doc_id", "sent_id").agg(F.round(F.avg("loss"), 6).alias("loss"))
+    these sentences themselves (or of ``fit_on``); null if a sentence has no token with a loss."""
+    return _scored(sentences, fit_on).groupBy("doc_id", "sent_id").agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
 def perplexity(probabilities: Column) -> Column:
@@ -192,14 +207,20 @@ def most_likely(scores: Column) -> Column:
     return F.nullif(F.array_position(scores, F.array_max(scores)), F.lit(0)) - 1
 
 
+def whole_and_batched_loss(sentences: DataFrame, batch_tokens: int = 4096) -> DataFrame:
+    """doc_id, sent_id, loss, batched: ``sentence_loss`` and ``batched_sentence_loss`` under one model, looked up once."""
+    w = W.partitionBy("doc_id").orderBy("sent_id").rowsBetween(W.unboundedPreceding, -1)
+    sized = sentences.repartition("doc_id").withColumn("ahead", F.coalesce(F.sum(F.size(words(F.col("sentence")))).over(w), F.lit(0)))
+    scored = _scored(sized.withColumn("batch", F.floor(F.col("ahead") / batch_tokens)))
+    means = [F.round(F.avg(x), 6).alias(c) for c, x in (("loss", F.col("loss")), ("batched", F.when(~F.col("begins"), F.col("loss"))))]
+    return scored.groupBy("doc_id", "sent_id").agg(*means)
+
+
 def batched_sentence_loss(sentences: DataFrame, batch_tokens: int = 4096) -> DataFrame:
     """As ``sentence_loss``, but the text of a document is read in batches of whole sentences of
     about ``batch_tokens`` tokens, each after a blank context: the first token of a batch
     has no loss. A batch ends with the sentence that reaches the limit."""
-    w = W.partitionBy("doc_id").orderBy("sent_id").rowsBetween(W.unboundedPreceding, -1)
-    sized = sentences.withColumn("ahead", F.coalesce(F.sum(F.size(words(F.col("sentence")))).over(w), F.lit(0)))
-    keyed = sized.withColumn("batch", F.floor(F.col("ahead") / batch_tokens))
-    return sentence_loss(keyed, fit_on=sentences)
+    return whole_and_batched_loss(sentences, batch_tokens).select("doc_id", "sent_id", F.col("batched").alias("loss"))
 
 
 class Requests:

@@ -41,10 +41,19 @@ def _at_exit(spark: SparkSession, path: str) -> None:
             pass
 
 
+#: Whether Spark drops the shuffle files of a query when it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(frame: DataFrame) -> DataFrame:
-    """The frame as a table, which goes when the driver process ends."""
+    """The frame as a table, which goes when the driver process ends. The shuffle files that it took go at once."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/lamina-{uuid.uuid4().hex}"
     atexit.register(_at_exit, spark, path)
-    frame.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(frame.schema).parquet(path)
