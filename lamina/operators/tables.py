@@ -45,15 +45,25 @@ def _at_exit(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(frame: DataFrame) -> DataFrame:
-    """The frame as a table, which goes when the driver process ends. The shuffle files that it took go at once."""
+def saved(frame: DataFrame, conf: dict[str, str] | None = None) -> DataFrame:
+    """The frame as a table, which goes when the driver process ends. The shuffle files that it took go at once.
+    ``conf``: settings that hold while it is made."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/lamina-{uuid.uuid4().hex}"
     atexit.register(_at_exit, spark, path)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    held = {CLEANUP: "true"} | (conf or {})
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         frame.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Removes a ``saved`` table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        delete(table.sparkSession, folder)

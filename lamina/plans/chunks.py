@@ -64,10 +64,8 @@ def find_minima_dynamic(spark, sf_dir):
 
 @query()
 def ppl_chunk_dynamic(spark, sf_dir):
-    """The threshold moves over the whole corpus in order: one fold over losses."""
-    sentences = _sentences(spark, sf_dir)
-    flags = chunking.find_minima_dynamic(_losses(spark, sf_dir), per_document=False)
-    return _digest(chunking.gather(chunking.chunk_ids(sentences.join(flags, ["doc_id", "sent_id"]))))
+    """The threshold moves over the whole corpus in order: one fold over the valleys of losses."""
+    return _digest(chunking.ppl_chunks_dynamic(docs(spark, sf_dir)))
 
 
 @query()

@@ -490,3 +490,72 @@ def test_batched_and_routed_losses_take_no_more_passes_than_whole_ones(spark, mo
     assert {k: x for k, (x, _) in both.items()} == {(r.doc_id, r.sent_id): r.loss for r in whole.collect()}
     assert {k: x for k, (_, x) in both.items()} == {(r.doc_id, r.sent_id): r.loss for r in batched.collect()}
     assert any(a != b for a, b in both.values())
+
+
+def test_losses_by_document_are_those_of_pairs(spark, monkeypatch):
+    from lamina.operators import blocks
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice(["a", "b", "cc", "Äö", " x", "it", "é e"]) + rng.choice([" ", " ", "  ", ". ", "!\n", "\t"]) for _ in range(n))
+    rows = [(d, text(rng.randrange(0, 60))) for d in range(80)] + [(90, None), (91, " \n"), (92, "one"), (93, "Is it?"), (94, "w " * 600 + "end. " + "b " * 1100 + "c."), (95, text(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sentences = chunking.split_sentences(docs)
+    want = {(r.doc_id, r.sent_id): r.loss for r in sentences.join(scoring.sentence_loss(sentences), ["doc_id", "sent_id"], "left").collect()}
+    whole = docs.select("doc_id", F.transform(T.sentences_en(F.col("text")), T.truncate_sentence).alias("sentences"))
+    for size, least in ((blocks.BLOCK, 32), (50, 3)):  # blocks of many documents, and of one or a few
+        monkeypatch.setattr(blocks, "BLOCK", size)
+        monkeypatch.setattr(blocks, "LEAST", least)
+        found = {r.doc_id: r.losses for r in blocks.document_loss(whole.repartition(3)).collect()}
+        assert found.keys() == {d for d, _ in rows} and found[90] == found[91] == []
+        got = {(d, i): x for d, xs in found.items() for i, x in enumerate(xs)}
+        assert got.keys() == want.keys()
+        assert all(x == want[k] or abs(x - want[k]) < 2e-6 for k, x in got.items())
+    assert blocks.document_loss(whole.limit(0)).count() == 0
+
+
+def test_packed_numbers_and_words_come_back():
+    from lamina.operators import blocks
+
+    for own in ([], [0], [5, 0, 255], [256, 1 << 62, 3], [1] * 1000):
+        assert blocks.unpacked(blocks.packed(blocks.np.array(own, dtype="int64"))).tolist() == own
+    for own in ([], [b"a"], ["ä".encode(), b"\xff", b"b"]):
+        assert blocks.unpacked_words(blocks.packed_words(own)) == own
+
+
+def test_valleys_taken_at_once_are_those_of_the_plain_fold(spark):
+    rng = random.Random(11)
+    for start, falls in ((0.0, 0), (0.1, 0), (0.3, 1)):
+        losses = {d: [None if rng.random() < 0.02 else round(rng.random() * (1 if not falls else 0.99**d), 2) for _ in range(rng.randrange(0, 60))] for d in range(120)}
+        fold, want = chunking.DynamicMinima(start), []
+        for d, xs in losses.items():
+            want += [(d, i) for i in fold.boundaries([math.nan if x is None else x for x in xs])]
+        assert fold.count > 150
+        frame = spark.createDataFrame(list(losses.items()), "doc_id long, losses array<double>").repartition(5)
+        for batch in ("10000", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = chunking.document_minima_dynamic(frame, start).select("doc_id", F.explode("ends")).collect()
+            assert sorted(map(tuple, got)) == want
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    import numpy as np
+
+    gaps = [rng.random() * 0.999**i for i in range(5000)]
+    most = [g + rng.random() * 0.2 for g in gaps]
+    plain, at_once = chunking.DynamicMinima(0.2), chunking.DynamicMinima(0.2)
+    values = [x for m, g in zip(most, gaps, strict=True) for x in (9 + m, 9.0, 9 + g)]
+    want = [bool(plain.boundaries(values[3 * i : 3 * i + 3])) for i in range(len(gaps))]
+    most, gaps = ([values[3 * i + j] - values[3 * i + 1] for i in range(len(gaps))] for j in (0, 2))
+    assert at_once.accepted(np.array(most), np.array(gaps), 64).tolist() == want
+    assert (plain.count, plain.least) == (at_once.count, at_once.least)
+
+
+def test_dynamic_chunks_shuffle_no_pairs_and_are_those_of_the_fold(spark):
+    rng = random.Random(5)
+    rows = [(d, " ".join(rng.choice(["aa", "b", "c.", "dd!", "e"]) for _ in range(rng.randrange(0, 90)))) for d in range(60)] + [(60, None), (61, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sentences = chunking.split_sentences(docs)
+    losses = sentences.select("doc_id", "sent_id").join(scoring.sentence_loss(sentences), ["doc_id", "sent_id"], "left")
+    flags = chunking.find_minima_dynamic(losses, per_document=False)
+    want = chunking.gather(chunking.chunk_ids(sentences.join(flags, ["doc_id", "sent_id"]))).collect()
+    found = chunking.ppl_chunks_dynamic(docs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) > 100
+    assert _plan(found).count("Exchange hashpartitioning") <= 2  # documents and their ends meet once; chunks stay there
