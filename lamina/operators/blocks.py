@@ -1,6 +1,6 @@
 """Losses of whole documents, without a row for each pair of words.
 
-Documents are cut into blocks of about a million words, kept as numbers. What blocks ask of the
+Documents are cut into blocks of about half a million words, kept as numbers. What blocks ask of the
 corpus (how often does this word, this pair occur?) goes out by bucket, each question once a block and
 packed, and comes back to the block in the order of the questions: a pair takes about three bytes on its
 way, and texts and pairs are never joined. Words and pairs are compared as such, not by hash.
@@ -17,17 +17,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.functions.text import words
-
 from .scoring import LAMBDA
 from .tables import drop, saved
 
-#: Words in a block, about, and words in a corpus for each bucket (of which there are ``LEAST`` at least).
-BLOCK = 1 << 20
+#: Bytes of text in a block, about, and words in a corpus for each bucket (of which there are ``LEAST`` at least).
+BLOCK = 3 << 20
 BUCKET = 1 << 21
 LEAST = 32
 #: Blocks have megabytes: few are sent to Python at once.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -75,11 +73,16 @@ def _back_in_place(answers: list[dict], order: np.ndarray, field: str) -> np.nda
     return out
 
 
+def _sizes(lengths: pa.Array) -> np.ndarray:
+    return pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Documents of about ``BLOCK`` words at a time."""
+    """Documents of about ``BLOCK`` bytes at a time."""
     held, size = [], 0
     for batch in batches:
-        upto = np.concatenate([[0], np.cumsum(pc.fill_null(batch.column("n"), 0).to_numpy(zero_copy_only=False))])
+        sentences = batch.column("sentences")
+        upto = np.concatenate([[0], np.cumsum(_sizes(pc.binary_length(sentences.flatten())))])[np.concatenate([[0], np.cumsum(_sizes(pc.list_value_length(sentences)))])]
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK - size, "right")) - 1)
@@ -94,16 +97,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """docs (doc_id, sentences) as blocks: their documents and words as numbers."""
-    cut = docs.select("doc_id", F.transform(F.coalesce("sentences", F.array().cast("array<string>")), words).alias("ws"))
-    cut = cut.withColumn("n", F.aggregate("ws", F.lit(0), lambda a, x: a + F.size(x)))
+    cut = docs.select("doc_id", F.coalesce("sentences", F.array().cast("array<string>")).alias("sentences"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in enumerate(_cut(batches)):
             pa.default_memory_pool().release_unused()
-            sentences = rows.column("ws").combine_chunks()
-            tokens = sentences.flatten()
-            codes = tokens.flatten().cast(pa.binary()).dictionary_encode()
+            sentences = rows.column("sentences").combine_chunks()
+            parts = pc.ascii_split_whitespace(pc.fill_null(sentences.flatten(), ""))  # white space as in ``words``
+            tokens = parts.flatten()
+            full = pc.binary_length(tokens).to_numpy(zero_copy_only=False) > 0
+            lengths = np.bincount(np.repeat(np.arange(len(parts)), _sizes(pc.list_value_length(parts)))[full], minlength=len(parts))
+            codes = tokens.filter(pa.array(full)).cast(pa.binary()).dictionary_encode()
             code = codes.indices.to_numpy(zero_copy_only=False)
             n = np.bincount(code, minlength=len(codes.dictionary))
             order = np.argsort(-n, kind="stable")  # frequent words have small numbers, which pack well
@@ -111,7 +116,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             place[order] = np.arange(len(order))
             yield pa.RecordBatch.from_pydict({
                 "block": [TaskContext.get().partitionId() << 32 | number], "tokens": [len(code)], "ids": [rows.column("doc_id").to_pylist()],
-                "sentences": [packed(pc.list_value_length(sentences).to_numpy(zero_copy_only=False))], "lengths": [packed(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))],
+                "sentences": [packed(_sizes(pc.list_value_length(sentences)))], "lengths": [packed(lengths)],
                 "words": [packed_words(codes.dictionary.take(pa.array(order)).to_pylist())], "n": [packed(n[order])], "code": [packed(place[code])],
             }, schema=pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(rows.column("doc_id").type)), *[(c, pa.binary()) for c in ("sentences", "lengths", "words", "n", "code")]]))
 

@@ -496,7 +496,7 @@ def test_losses_by_document_are_those_of_pairs(spark, monkeypatch):
     from lamina.operators import blocks
 
     rng = random.Random(3)
-    text = lambda n: "".join(rng.choice(["a", "b", "cc", "Äö", " x", "it", "é e"]) + rng.choice([" ", " ", "  ", ". ", "!\n", "\t"]) for _ in range(n))
+    text = lambda n: "".join(rng.choice(["a", "b", "cc", "Äö", " x", "it", "é e", "e\u00a0f", "q\x1cr", "s\u2003t\x85"]) + rng.choice([" ", " ", "  ", ". ", "!\n", "\t", "\x0b\f", "\r\n"]) for _ in range(n))
     rows = [(d, text(rng.randrange(0, 60))) for d in range(80)] + [(90, None), (91, " \n"), (92, "one"), (93, "Is it?"), (94, "w " * 600 + "end. " + "b " * 1100 + "c."), (95, text(400))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sentences = chunking.split_sentences(docs)
